@@ -332,8 +332,8 @@ def flatten_json(
             ids, texts = batch.column(0), batch.column(1)
             sizes = np.diff(np.frombuffer(texts.buffers()[1], dtype=np.int32, count=len(texts) + texts.offset + 1)[texts.offset :])
             a = 0
-            while a < len(texts):  # blocks of about 8 MB bound the memory of the index
-                b = a + max(1, int(np.searchsorted(np.cumsum(sizes[a:]), 8 << 20)))
+            while a < len(texts):  # blocks of about 2 MB bound the memory of the index
+                b = a + max(1, int(np.searchsorted(np.cumsum(sizes[a:]), 2 << 20)))
                 yield from block(ids.slice(a, b - a), texts.slice(a, b - a).to_pylist())
                 a = b
 
