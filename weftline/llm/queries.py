@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from weftline.catalog import query
 from weftline.llm.canonical import map_to_canonical
+from weftline.llm.persons import by_name_stems, link_spellings
 from weftline.llm.tokens import decode_corpus, encode_corpus
 from weftline.llm.unicode_form import inconsistent_rows
 from weftline.tables import load
@@ -78,3 +79,32 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded again."""
     return decode_corpus(encode_corpus(load(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", "ids")
+
+
+# -- p7: variant spellings of persons ------------------------------------------------------------------------------
+
+
+def _links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    persons = load(spark, sf_dir, "canonical_persons").select("person_id", "archive_key", "canonical_name", "variants", "mention_count")
+    docs = load(spark, sf_dir, "papyri_documents").select("row_no", "archive_key", "person_names").filter(F.col("archive_key").isNotNull())
+    mentions = docs.select("row_no", "archive_key", F.posexplode("person_names").alias("elem_no", "spelling"))
+    return link_spellings(
+        persons, mentions, block="archive_key", person="person_id", spellings=["canonical_name", "variants"], support="mention_count",
+        mention_keys=["row_no", "elem_no"], mention="spelling", by_names=by_name_stems(load(spark, sf_dir, "name_nicknames"), "nickname", "full_name"),
+    )
+
+
+@query("p7_found")
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clusters, found = _links(spark, sf_dir)
+    a = clusters.select(F.col("person_id").alias("left_key"), "cluster")
+    pairs = a.join(clusters, "cluster").filter("left_key < person_id")
+    rows = pairs.select(F.lit("person").alias("link_kind"), "left_key", F.lit(-1).alias("elem_no"), "person_id")
+    return rows.unionAll(found.select(F.lit("mention").alias("link_kind"), F.col("row_no").alias("left_key"), F.col("elem_no").cast("int"), F.col("cluster").alias("person_id")))
+
+
+@query("p7_spellings")
+def p7_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every linked occurrence with the edit distance and similarity that verified it."""
+    _, found = _links(spark, sf_dir)
+    return found.select("row_no", "elem_no", F.col("cluster").alias("person_id"), F.col("far").alias("edits"), F.round("sim", 6).alias("similarity"))
