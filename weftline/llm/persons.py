@@ -44,7 +44,8 @@ ENDINGS = {
 }
 _BY_LENGTH = sorted(ENDINGS, key=len, reverse=True)
 _FOLDS = [("ει", "ι"), ("ω", "ο"), ("η", "ι"), ("ei", "i"), ("ph", "f"), ("kh", "ch")]
-_GREEK = re.compile("[α-ω]")
+# spellings that sound alike but that a slip of letters may also bring about: both readings are kept
+_MAYBE = [("αι", "ε"), ("οι", "υ"), ("κσ", "ξ"), ("ai", "e"), ("oi", "y"), ("ks", "x")]
 _LINKS = {"son", "of", "daughter", "the", "υιοσ", "υιου", "του", "τησ", "filius", "fil", "tou"}
 
 
@@ -76,7 +77,7 @@ def _respell(stem: str) -> str:
 
 
 def read_name(text: str | None) -> list[tuple[str, str]]:
-    """The (given, father) readings of a spelling as stems: none, one, or two where the order can't be told."""
+    """The (given, father) readings of a spelling as stems: none, one, or more where order or endings can't be told."""
     if not text:
         return []
     parts = [re.findall(r"[^\W\d_]+\.?", p) for p in fold_name(text).split(",")]
@@ -92,16 +93,44 @@ def read_name(text: str | None) -> list[tuple[str, str]]:
         return []
     if min(len(a.strip(".")), len(b.strip("."))) < 2:
         return []
-    (sa, ca), (sb, cb) = read_part(a), read_part(b)
+    (_, ca), (_, cb) = read_part(a), read_part(b)
     if turned is False or ca in ("nom", "acc", "dat") or cb == "gen":
-        return [(sa, sb)]
-    if ca == "gen" and cb in ("nom", "acc", "dat"):
-        return [(sb, sa)]
-    if ca in ("odd", "cut") and cb == "nom":
-        return [(sb, sa), (sa, sb)] if ca == "cut" else [(sb, sa)]
-    if ca == "gen" and cb in ("cut", "odd"):
-        return [(sa, sb), (sb, sa)]
-    return [(sa, sb)]
+        orders = [(a, b)]
+    elif ca == "gen" and cb in ("nom", "acc", "dat"):
+        orders = [(b, a)]
+    elif ca in ("odd", "cut") and cb == "nom":
+        orders = [(b, a), (a, b)] if ca == "cut" else [(b, a)]
+    elif ca == "gen" and cb in ("cut", "odd"):
+        orders = [(a, b), (b, a)]
+    else:
+        orders = [(a, b)]
+    return list(dict.fromkeys((g, f) for x, y in orders for g in _given_stems(x) for f in _father_stems(y)))
+
+
+def _given_stems(word: str) -> list[str]:
+    """Stems of a given name: what looks like the genitive of an n-stem may be a nominative in -onos."""
+    stem = read_part(word)[0]
+    if word.endswith(("ωνοσ", "ονοσ", "onos")) and len(word) >= 6:
+        return _sounds([stem, _respell(word[:-2])])
+    return _sounds([stem])
+
+
+def _sounds(stems: list[str]) -> list[str]:
+    out = list(stems)
+    for s in stems:
+        t = s
+        for a, b in _MAYBE:
+            t = t.replace(a, b)
+        out.append(t)
+    return list(dict.fromkeys(out))
+
+
+def _father_stems(word: str) -> list[str]:
+    """Stems of a father's name: it stands in the genitive, so any other ending is a slip, maybe of an n-stem."""
+    stem, case = read_part(word)
+    if case not in ("gen", "cut") and len(word) >= 7:
+        return _sounds([stem, _respell(word[:-4])])
+    return _sounds([stem])
 
 
 def name_grams(given: str, father: str) -> list[int]:
