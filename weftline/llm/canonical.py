@@ -18,7 +18,6 @@ Defined results
 from __future__ import annotations
 
 import re
-import unicodedata as ud
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm.setsim import set_similarity_join
-from weftline.llm.unicode_form import consistent_text
+from weftline.llm.unicode_form import bare
 
 NONE = -1
 
@@ -55,10 +54,7 @@ PLACES = Parsing(
 )
 
 
-def fold(text: str | None) -> str:
-    """Consistent, lower-case, without accents."""
-    s = ud.normalize("NFD", (consistent_text(text) or "").lower())
-    return "".join(c for c in s if not ud.combining(c))
+fold = bare
 
 
 def respell(word: str, p: Parsing) -> str:
@@ -95,11 +91,11 @@ def take_apart(value: str, contexts: Sequence[str], p: Parsing) -> tuple[list[st
                 continue
         words += own
     cut = bool(words) and words[-1].endswith(".")
-    bare = [re.sub(r"[^\w]", "", w) for w in words]
-    if not any(bare):
+    clean = [re.sub(r"[^\w]", "", w) for w in words]
+    if not any(clean):
         return [], context, False
     spellings = []
-    for plain in ([respell(w, p) for w in bare if w], [w for w in bare if w]):  # a respelled and an untouched form
+    for plain in ([respell(w, p) for w in clean if w], [w for w in clean if w]):  # a respelled and an untouched form
         spellings.append("".join(plain))
         if len(plain) > 1:
             spellings.append("".join(plain[-1:] + plain[:-1]))
@@ -109,12 +105,12 @@ def take_apart(value: str, contexts: Sequence[str], p: Parsing) -> tuple[list[st
 
 def entry_variants(name: str, p: Parsing, min_cut: int = 4) -> list[tuple[str, str]]:
     """(variant, kind) of a reference name: 'full', 'short' (first word as an initial), 'cut' (last letters left off)."""
-    bare = [w for w in (re.sub(r"[^\w]", "", w) for w in fold(name).split()) if w]
-    if not bare:
+    clean = [w for w in (re.sub(r"[^\w]", "", w) for w in fold(name).split()) if w]
+    if not clean:
         return []
     full: list[tuple[str, str]] = []
     cut: list[tuple[str, str]] = []
-    for words in ([respell(w, p) for w in bare], bare):
+    for words in ([respell(w, p) for w in clean], clean):
         stems = ["".join(words)]
         full.append((stems[0], "full"))
         if len(words) > 1:

@@ -62,3 +62,27 @@ def band_keys(tokens: np.ndarray, offsets: np.ndarray, bands: int, rows: int, sa
                 key = mix64(key ^ low)
             out[:, band] = key.view(np.int64)
     return out
+
+
+def tune_paired_bands(product: float, recall: float, max_bands: int = 256) -> int:
+    """How many bands of one hash of either part find a pair whose part similarities multiply to ``product``."""
+    for bands in range(1, max_bands + 1):
+        if collision(product, bands, 1) >= recall:
+            return bands
+    raise ValueError(f"a recall of {recall} at {product} needs more than {max_bands} bands")
+
+
+def paired_band_keys(tokens: np.ndarray, offsets: np.ndarray, first: np.ndarray, second: np.ndarray, bands: int, salt: np.ndarray, seed: int = 7) -> np.ndarray:
+    """Keys (records x bands) of records with two parts, each a set of ``tokens``/``offsets`` (by its number in
+    ``first`` and ``second``).  A band is one MinHash of the first part with one of the second."""
+    a, b = _family(2 * bands, seed)
+    t = mix64(tokens)
+    starts = offsets[:-1]
+    out = np.empty((len(first), bands), dtype=np.int64)
+    with np.errstate(over="ignore"):
+        for k in range(bands):
+            one = np.minimum.reduceat((t * a[2 * k] + b[2 * k]) >> np.uint64(16), starts)
+            two = np.minimum.reduceat((t * a[2 * k + 1] + b[2 * k + 1]) >> np.uint64(16), starts)
+            key = mix64(salt ^ (np.uint64(k + 1) * _MIX))
+            out[:, k] = mix64(mix64(key ^ one[first]) ^ two[second]).view(np.int64)
+    return out

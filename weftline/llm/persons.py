@@ -22,7 +22,6 @@ Defined results
 from __future__ import annotations
 
 import re
-import unicodedata as ud
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -31,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.lsh import band_keys, tune_bands
-from weftline.llm.unicode_form import consistent_text
+from weftline.llm.lsh import paired_band_keys, tune_paired_bands
+from weftline.llm.unicode_form import bare
 from weftline.session import cut_lineage
 
 # Case endings of Greek names and of their Latin transcription, longest first, with the case they show.
@@ -49,9 +48,7 @@ _MAYBE = [("αι", "ε"), ("οι", "υ"), ("κσ", "ξ"), ("ai", "e"), ("oi", "y
 _LINKS = {"son", "of", "daughter", "the", "υιοσ", "υιου", "του", "τησ", "filius", "fil", "tou"}
 
 
-def fold_name(text: str) -> str:
-    s = ud.normalize("NFD", (consistent_text(text) or "").lower())
-    return "".join(c for c in s if not ud.combining(c)).replace("ς", "σ")
+fold_name = bare
 
 
 @lru_cache(maxsize=100_000)
@@ -133,14 +130,10 @@ def _father_stems(word: str) -> list[str]:
     return _sounds([stem])
 
 
-def name_grams(given: str, father: str) -> list[int]:
-    """64-bit tokens of the padded bigrams of both parts; a part keeps its grams to itself."""
-    out = set()
-    for role, s in ((1, given), (2, father)):
-        cut = s.endswith(".")
-        s = "^" + (s[:-1] if cut else s + "$")
-        out.update((role << 42) | (ord(x) << 21) | ord(y) for x, y in zip(s, s[1:]))
-    return sorted(out)
+def part_grams(stem: str) -> list[int]:
+    """64-bit tokens of the padded bigrams of a stem; an abbreviation has no end."""
+    s = "^" + (stem[:-1] if stem.endswith(".") else stem + "$")
+    return list({(ord(x) << 21) | ord(y) for x, y in zip(s, s[1:])})
 
 
 def spelling_nodes(df: DataFrame, block: str, spelling: str, keys: Sequence[str], by_names: dict[str, list[str]] | None = None) -> DataFrame:
@@ -169,21 +162,23 @@ def spelling_nodes(df: DataFrame, block: str, spelling: str, keys: Sequence[str]
     return out.withColumn("node", F.xxhash64("blk", "given", "father"))
 
 
-def band_rows(nodes: DataFrame, bands: int, rows: int) -> DataFrame:
+def band_rows(nodes: DataFrame, bands: int) -> DataFrame:
     """``(key, node)`` for every band of every distinct node; the key mixes the block in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            sets = [name_grams(g, f) for g, f in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            words = b.column(2).to_pylist() + b.column(3).to_pylist()
+            slot: dict[str, int] = {}
+            at = np.fromiter((slot.setdefault(w, len(slot)) for w in words), dtype=np.int64, count=len(words))
+            sets = [part_grams(w) for w in slot]
             off = np.zeros(len(sets) + 1, dtype=np.int64)
             np.cumsum([len(s) for s in sets], out=off[1:])
             flat = np.fromiter((x for s in sets for x in s), dtype=np.uint64, count=int(off[-1]))
-            salt = b.column(1).to_numpy().astype(np.int64).view(np.uint64)
-            keys = band_keys(flat, off, bands, rows, salt)
-            node = np.repeat(b.column(0).to_numpy(), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(node)], ["key", "node"])
+            salt = b.column(1).to_numpy().view(np.uint64)
+            keys = paired_band_keys(flat, off, at[: b.num_rows], at[b.num_rows :], bands, salt)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), bands))], ["key", "node"])
 
     return nodes.select("node", F.xxhash64("blk").alias("s"), "given", "father").mapInArrow(run, "key bigint, node bigint")
 
@@ -271,22 +266,24 @@ def by_name_stems(nicknames: DataFrame, nick: str, full: str, max_rows: int = 10
 
 def link_spellings(
     persons: DataFrame, mentions: DataFrame, *, block: str, person: str, spellings: Sequence[str], support: str, mention_keys: Sequence[str], mention: str,
-    by_names: dict[str, list[str]] | None = None, similarity: float = 0.5, recall: float = 0.9,
+    by_names: dict[str, list[str]] | None = None, similarity: float = 0.3, recall: float = 0.97,
 ) -> tuple[DataFrame, DataFrame]:
     """(``person, cluster``) and (``mention_keys..., cluster, far, sim``).
 
     ``persons`` has one row per person row with ``spellings`` (text or array columns); ``mentions`` one row per
-    occurrence.  ``cluster`` is the smallest person id of the person.  Bands are tuned so that one pair of spellings of
-    q-gram similarity ``similarity`` is met with ``recall``; a person has several spellings, so misses are rarer still.
+    occurrence.  ``cluster`` is the smallest person id of the person.  A band takes one MinHash of either part, so two
+    spellings share it with the product of the q-gram similarities of their parts; the number of bands is read off the
+    collision curve such that a product of ``similarity`` is met with ``recall``.  A person has several spellings, so
+    misses are rarer still.
     """
-    bands, width = tune_bands(similarity, recall)
+    bands = tune_paired_bands(similarity, recall)
     arrays = [F.col(s) if persons.schema[s].dataType.typeName() == "array" else F.array(s) for s in spellings]
     theirs = persons.select(F.col(person).alias("pid"), F.col(block).alias("blk_"), F.explode(F.array_distinct(F.concat(*[F.coalesce(a, F.array().cast("array<string>")) for a in arrays]))).alias("sp"))
     p_occ = cut_lineage(spelling_nodes(theirs, "blk_", "sp", ["pid"], by_names).dropDuplicates(["pid", "node"]))
     p_nodes = p_occ.groupBy("node").agg(F.first("blk").alias("blk"), F.first("given").alias("given"), F.first("father").alias("father"), F.min("by").alias("by"))
-    m_occ = cut_lineage(spelling_nodes(mentions, block, mention, list(mention_keys)))
+    m_occ = spelling_nodes(mentions, block, mention, list(mention_keys))
     m_nodes = m_occ.select("node", "blk", "given", "father", "by").dropDuplicates(["node"])
-    p_bands = cut_lineage(band_rows(p_nodes, bands, width))
+    p_bands = band_rows(p_nodes, bands)
 
     # rows of the person list: verified links between their spellings, then stars
     twin = p_bands.select("key", F.col("node").alias("rn")).join(p_bands.withColumnRenamed("node", "ln"), "key").filter("ln < rn").select("ln", "rn").distinct()
@@ -302,7 +299,7 @@ def link_spellings(
     clusters = cut_lineage(stars.join(heads, "center").select(F.col("id").alias("pid"), "cluster"))
 
     # occurrences: the nearest verified spelling of a person
-    cand = p_bands.withColumnRenamed("node", "rn").join(band_rows(m_nodes, bands, width).withColumnRenamed("node", "ln"), "key").select("ln", "rn").distinct()
+    cand = p_bands.withColumnRenamed("node", "rn").join(band_rows(m_nodes, bands).withColumnRenamed("node", "ln"), "key").select("ln", "rn").distinct()
     hits = verified_pairs(m_nodes, p_nodes, cand)
     who = own.join(clusters, "pid").groupBy("node", "cluster").agg(F.count("*").alias("n"))
     best = (

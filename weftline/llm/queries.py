@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from weftline.catalog import query
 from weftline.llm.canonical import map_to_canonical
+from weftline.llm.matching import match_names, match_teams
 from weftline.llm.persons import by_name_stems, link_spellings
 from weftline.llm.tokens import decode_corpus, encode_corpus
 from weftline.llm.unicode_form import inconsistent_rows
@@ -108,3 +109,30 @@ def p7_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every linked occurrence with the edit distance and similarity that verified it."""
     _, found = _links(spark, sf_dir)
     return found.select("row_no", "elem_no", F.col("cluster").alias("person_id"), F.col("far").alias("edits"), F.round("sim", 6).alias("similarity"))
+
+
+# -- p5: entities without a common key -----------------------------------------------------------------------------
+
+
+def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    span = [F.col("first_year").alias("first"), F.col("last_year").alias("last"), F.col("name_type").alias("kind")]
+    ours = load(spark, sf_dir, "trismegistos_matches_top50").select(F.col("match_id").alias("id"), F.col("our_name").alias("name"), *span)
+    register = load(spark, sf_dir, "tm_names").select(F.col("tm_nam_id").alias("id"), F.col("tm_name").alias("name"), *span)
+    teams = load(spark, sf_dir, "team_stats_2026").select(F.col("team_id").alias("id"), F.col("team_name").alias("name"), F.col("avg_pts").alias("points"), "games")
+    listed = load(spark, sf_dir, "book_teams").select(
+        F.col("book_team_id").alias("id"), F.col("listed_name").alias("name"), F.col("home_city").alias("town"), "nickname",
+        F.col("points_pg").alias("points"), F.col("games_seen").alias("games"),
+    )
+    shape = lambda d, k: d.select(F.lit(k).alias("pair_kind"), F.col("lid").alias("our_key"), F.col("rid").alias("other_key"), "confidence")
+    return shape(match_names(ours, register), "name").unionByName(shape(match_teams(teams, listed), "team"))
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matches(spark, sf_dir).select("pair_kind", "our_key", "other_key")
+
+
+@query("p5_confidence")
+def p5_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matched pairs with the calibrated probability of each."""
+    return _matches(spark, sf_dir)

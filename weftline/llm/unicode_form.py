@@ -259,7 +259,23 @@ def transducer() -> Transducer:
 
 def consistent_text(text: str | None) -> str | None:
     """Plain-Python form of the operator."""
-    return None if text is None else transducer().consistent(text)
+    return text if text is None or not suspect(text) else transducer().consistent(text)
+
+
+@lru_cache(maxsize=1)
+def _bare_letters() -> dict[int, str]:
+    """Code point -> lower-case letter without accents, for str.translate."""
+    out = {}
+    for o in [*range(0x41, 0x5B), *range(0xC0, 0x2000)]:
+        c = "".join(x for x in ud.normalize("NFD", chr(o).lower()) if not ud.combining(x)).replace("ς", "σ")
+        if c != chr(o):
+            out[o] = c
+    return out
+
+
+def bare(text: str | None) -> str:
+    """Consistent, lower-case, without accents, one form of sigma: the form in which names are compared."""
+    return (consistent_text(text) or "").translate(_bare_letters())
 
 
 @lru_cache(maxsize=1)
