@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from weftline.catalog import query
 from weftline.llm.canonical import map_to_canonical
 from weftline.llm.matching import match_names, match_teams
+from weftline.llm.mixing import mix_report, mix_sources
 from weftline.llm.persons import by_name_stems, link_spellings
+from weftline.llm.pii import detect_details, forename_set, mask_details
 from weftline.llm.tokens import decode_corpus, encode_corpus
 from weftline.llm.unicode_form import inconsistent_rows
 from weftline.tables import load
@@ -136,3 +138,37 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The matched pairs with the calibrated probability of each."""
     return _matches(spark, sf_dir)
+
+
+# -- p9: mixing sources --------------------------------------------------------------------------------------------
+
+
+@query("p9_mix")
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"))
+
+
+@query("p9_shares")
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares of the mix."""
+    targets = load(spark, sf_dir, "mix_targets")
+    return mix_report(mix_sources(load(spark, sf_dir, "documents"), targets), targets)
+
+
+# -- p10: private details ------------------------------------------------------------------------------------------
+
+#: the key of the pseudonyms; a deployment passes its own
+DEMO_KEY = b"weftline demonstration key"
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = forename_set(load(spark, sf_dir, "given_names"), "given_name")
+    return detect_details(load(spark, sf_dir, "documents"), "doc_id", "text", names)
+
+
+@query("p10_masked")
+def p10_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with its details replaced by typed, format-preserving pseudonyms."""
+    names = forename_set(load(spark, sf_dir, "given_names"), "given_name")
+    return mask_details(load(spark, sf_dir, "documents"), "doc_id", "text", names, DEMO_KEY)
