@@ -59,7 +59,7 @@ def successors(pairs: DataFrame, context: str, token: str) -> DataFrame:
         .agg(F.sum("n").alias("total_out"), F.count("*").alias("n_successors"), F.min_by(token, F.struct(-F.col("n"), F.col(token))).alias("dominant"),
              F.max("n").alias("_m"), F.sum(F.col("n") * F.log2("n")).alias("_s"))
         .select(context, "total_out", "n_successors", "dominant", (F.col("_m") / F.col("total_out")).alias("share"),
-                (F.log2("total_out") - F.col("_s") / F.col("total_out")).alias("entropy_out"))
+                F.greatest(F.lit(0.0), F.log2("total_out") - F.col("_s") / F.col("total_out")).alias("entropy_out"))
     )
 
 
@@ -69,9 +69,9 @@ def gini(cnt: DataFrame, value: str = "n") -> DataFrame:
     blocks = cnt.groupBy(value).agg(F.count("*").alias("k"))
     w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)  # over distinct values only
     b = blocks.withColumn("before", F.coalesce(F.sum("k").over(w), F.lit(0)))
-    tot = blocks.agg(F.sum("k").alias("N"), F.sum(F.col(value) * F.col("k")).alias("S"))
-    rank_sum = F.col(value) * (F.col("k") * (2 * F.col("before") + F.col("k") + 1) - F.col("k") * (F.col("N") + 1))
-    return b.join(F.broadcast(tot)).agg((F.sum(rank_sum) / F.first(F.col("N") * F.col("S"))).alias("gini"))
+    tot = blocks.agg(F.sum("k").alias("_all"), F.sum(F.col(value) * F.col("k")).alias("_sum"))
+    rank_sum = F.col(value) * (F.col("k") * (2 * F.col("before") + F.col("k") + 1) - F.col("k") * (F.col("_all") + 1))
+    return b.join(F.broadcast(tot)).agg((F.sum(rank_sum) / F.first(F.col("_all") * F.col("_sum"))).alias("gini"))
 
 
 def richness(cnt: DataFrame, by: Sequence[str]) -> DataFrame:

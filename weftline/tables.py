@@ -13,4 +13,4 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_enough(df: DataFrame, limit_bytes: int = 64 << 20) -> bool:
     """Whether the optimizer proves ``df`` to be under ``limit_bytes``: the check before any broadcast hint."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString()) <= limit_bytes
+    return int(str(size)) <= limit_bytes
