@@ -207,8 +207,9 @@ def verified_pairs(left: DataFrame, right: DataFrame, pairs: DataFrame, most: in
     With a given and a father's name in fixed roles, the best partner of each part is its counterpart, so the
     Monge-Elkan mean of best similarities is the mean over the two roles.
     """
-    a = left.select(F.col("node").alias("ln"), F.col("blk").alias("lb"), F.col("given").alias("lg"), F.col("father").alias("lf"), F.col("by").alias("ly"))
-    b = right.select(F.col("node").alias("rn"), F.col("blk").alias("rb"), F.col("given").alias("rg"), F.col("father").alias("rf"), F.col("by").alias("ry"))
+    # the node's hash covers the block already; a second, short hash of it keeps blocks apart even where 64 bits collide
+    a = left.select(F.col("node").alias("ln"), F.hash("blk").alias("lb"), F.col("given").alias("lg"), F.col("father").alias("lf"), F.col("by").alias("ly"))
+    b = right.select(F.col("node").alias("rn"), F.hash("blk").alias("rb"), F.col("given").alias("rg"), F.col("father").alias("rf"), F.col("by").alias("ry"))
     dg, df_ = _part_distance(F.col("lg"), F.col("rg")), _part_distance(F.col("lf"), F.col("rf"))
     sim = lambda d, x, y: 1 - d / F.greatest(F.length(x), F.length(y))
     return (
