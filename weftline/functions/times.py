@@ -61,7 +61,8 @@ def tolerant_date(c: Column) -> Column:
 
 def mail_date(c: Column) -> Column:
     """A timestamp out of an RFC 822 date; null where it is none."""
-    return F.try_to_timestamp(c, F.lit("EEE, dd MMM yyyy HH:mm:ss Z"))
+    bare = F.regexp_replace(F.regexp_replace(F.trim(c), r"^[A-Za-z]{3},\s*", ""), r"(GMT|UTC|UT|Z)$", "+0000")
+    return F.when(bare.rlike(r"^\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2} [+-]\d{4}$"), F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss Z")))
 
 
 def month_chunks(start: Column, end: Column) -> Column:

@@ -56,7 +56,10 @@ def leaking(issued: Column, gate: Column) -> Column:
 
 
 def file_problems(files: DataFrame) -> DataFrame:
-    """``(path, problem)`` of a ``binaryFile`` table; null where a gzip-ed JSON file is usable.  The whole file is unpacked."""
+    """``(path, problem)`` of a ``binaryFile`` table; null where a gzip-ed JSON file is usable.  The whole file is unpacked.
+
+    Spark's reader does not list files without bytes; the list of expected files shows those as missing.
+    """
 
     def judge(body: bytes | None) -> str | None:
         if not body:

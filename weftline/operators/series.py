@@ -73,15 +73,19 @@ def streaks(df: DataFrame, order: str, value: str, by: Sequence[str] = ()) -> Da
     ).drop("_g")
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's r as an aggregate; null where a side does not vary (``corr`` divides by zero there under ANSI rules)."""
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+
+
 def skill(actual: Column, predicted: Column) -> list[Column]:
     """Aggregates of forecast skill; pairs with a missing side are left out.  Undefined ratios are null."""
     ok = actual.isNotNull() & predicted.isNotNull()
     a, p = F.when(ok, actual), F.when(ok, predicted)
     e = p - a
-    flat = (F.stddev_pop(a) == 0) | (F.stddev_pop(p) == 0)
     return [
         F.count(e).alias("n"), F.avg(e).alias("bias"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
-        F.when(~flat, F.corr(a, p)).alias("r"), (100 * F.avg(F.when(a != 0, F.abs(e / a)))).alias("mape"),
+        correlation(a, p).alias("r"), (100 * F.avg(F.when(a != 0, F.abs(e / a)))).alias("mape"),
         F.when(F.var_pop(a) > 0, 1 - F.avg(e * e) / F.var_pop(a)).alias("r2"),
     ]
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from weftline.catalog import query
 from weftline.operators import sequences as Q
+from weftline.operators.series import correlation
 from weftline.plans._util import r, rounded, t
 from weftline.streaming.machines import active_spans
 
@@ -115,5 +116,5 @@ def correlation_row(spark: SparkSession, d: str) -> DataFrame:
     from weftline.operators.stats import semi_partial
 
     k = t(spark, d, "events").groupBy("user_id").agg(F.avg("value").alias("x"), F.stddev_pop("value").alias("y"), F.count("*").cast("double").alias("z"))
-    c = k.agg(F.corr("x", "y").alias("xy"), F.corr("x", "z").alias("xz"), F.corr("y", "z").alias("yz"))
+    c = k.agg(*[correlation(F.col(a), F.col(b)).alias(a + b) for a, b in ("xy", "xz", "yz")])
     return c.select(r("xy", 5).alias("xy"), r("xz", 5).alias("xz"), r("yz", 5).alias("yz"), r(semi_partial(F.col("xy"), F.col("xz"), F.col("yz")), 5).alias("semi_partial"))

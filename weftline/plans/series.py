@@ -119,10 +119,10 @@ SELECT part, count(*) AS n, CASE WHEN count(*) >= 5 AND stddev_pop(a) > 0 AND st
 FROM h GROUP BY part""")
 def surprise_spread_corr(spark: SparkSession, d: str) -> DataFrame:
     part = F.when(times.local_hour(F.col("ts"), -8).between(17, 21), "ramp").otherwise("rest")
-    ok = (F.count("*") >= 5) & (F.stddev_pop("a") > 0) & (F.stddev_pop("b") > 0)
+    ok = F.count("*") >= 5
     return rounded(
         hourly_pair(spark, d, "view", "click").groupBy(part.alias("part")).agg(
-            F.count("*").alias("n"), F.when(ok, F.corr("a", "b")).alias("r"),
+            F.count("*").alias("n"), F.when(ok, S.correlation(F.col("a"), F.col("b"))).alias("r"),
             F.avg(F.when(F.signum(F.col("a") - 50) == F.signum(F.col("b") - 50), 1.0).otherwise(0.0)).alias("sign_agreement"), F.avg(F.abs(F.col("a") - F.col("b"))).alias("mean_spread"))
     )
 

@@ -20,7 +20,7 @@ def csv_table(spark: SparkSession, path: str | Sequence[str], schema: str) -> Da
 def csv_dated(spark: SparkSession, path: str, date: str, values: dict[str, str]) -> DataFrame:
     """CSV of a dated series: the date column as dates, the others cast, unreadable cells null."""
     raw = csv_text(spark, path)
-    return raw.select(F.to_date(F.col(date)).alias(date), *[F.col(c).try_cast(t).alias(c) for c, t in values.items()])
+    return raw.select(F.col(date).try_cast("date").alias(date), *[F.col(c).try_cast(t).alias(c) for c, t in values.items()])
 
 
 def csv_text(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -137,7 +137,8 @@ def links(spark: SparkSession, path: str) -> DataFrame:
     elif kind == ".json":
         item = "struct<" + ", ".join(f"{n}: string" for n in names) + ">"
         text = spark.read.text(path, wholetext=True)
-        both = F.coalesce(F.from_json("value", f"array<{item}>"), F.from_json("value", f"struct<items: array<{item}>>")["items"])
+        listed = F.regexp_replace("value", r"^\s+", "").startswith("[")
+        both = F.when(listed, F.from_json("value", f"array<{item}>")).otherwise(F.from_json("value", f"struct<items: array<{item}>>")["items"])
         out = text.select(F.inline(F.filter(both, lambda x: x.isNotNull())))
     elif kind == ".txt":
         lines = spark.read.text(path).filter(~F.trim("value").startswith("#") & (F.trim("value") != ""))
@@ -186,7 +187,7 @@ def result_links(df: DataFrame, html: str, pattern: str) -> DataFrame:
 def without_envelope(text: Column) -> Column:
     """A book's text between its START and END markers; whole if there are none."""
     body = F.regexp_replace(text, r"(?s)\A.*?\*\*\* ?START OF[^\n]*\n", "")
-    return F.trim(F.regexp_replace(body, r"(?s)\*\*\* ?END OF.*\z", ""))
+    return F.regexp_replace(F.regexp_replace(body, r"(?s)\*\*\* ?END OF.*\z", ""), r"^\s+|\s+\z", "")
 
 
 def metadata_index(df: DataFrame, key: str, order: str, take: Sequence[str]) -> DataFrame:
