@@ -57,7 +57,7 @@ def read_part(word: str) -> tuple[str, str]:
     if word.endswith("."):
         return _respell(word[:-1]) + ".", "cut"
     for e in _BY_LENGTH:
-        if word.endswith(e) and len(word) - len(e) >= 3:
+        if word.endswith(e) and len(word) - len(e) >= 2:
             return _respell(word[: -len(e)]), ENDINGS[e]
     tail = word[-5:]
     for n in ("ων", "on"):

@@ -168,7 +168,7 @@ class Transducer:
         # a cluster is worth a look-up if it changes by itself, carries marks or invisibles, or may be a look-alike
         self.cluster = regex.compile(rf"[\p{{L}}\p{{N}}][{marks}]+|[{marks}]+|[^\n\r\t\x20-\x7E]|[A-Za-z]")
         self.cluster_in_word = self.cluster
-        self.word = regex.compile(r"[\p{L}\p{M}\p{Cf}]+")
+        self.word = regex.compile(r"(?:[\p{L}\p{M}\p{Cf}\p{Co}\p{Cs}]|[^\P{Cc}\n\r\t])+")
 
     def _table(self, script: str | None) -> dict[str, str]:
         """Single code points and every canonical (base, marks) sequence whose consistent form differs from it."""
@@ -225,9 +225,20 @@ class Transducer:
         return n
 
     def consistent(self, text: str) -> str:
-        """The consistent form of a text; equal texts in, equal texts out, and a fixed point."""
-        if text.isascii() and text.isprintable():
-            return text
+        """The consistent form of a text; equal texts in, equal texts out, and a fixed point.
+
+        One pass does for all but odd cases, such as a width form whose letters join the words around it.
+        """
+        for _ in range(8):
+            if text.isascii() and text.isprintable():
+                return text
+            done = self._pass(text)
+            if done == text:
+                break
+            text = done
+        return text
+
+    def _pass(self, text: str) -> str:
         lead: str | None = None
         out: list[str] = []
         at = 0
