@@ -10,10 +10,10 @@ from weftline.plans._util import DAILY, daily, hourly_pair, pair_sql, r, rounded
 
 
 @query("hourly_series", "AGG17", "DT01", "SRC08", sql="""
-SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, event_type, count(*) AS n, round(avg(value), 6) AS mean_value, round(sum(value), 4) AS total
+SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, event_type, count(*) AS n, round(avg(value), 9) AS mean_value, round(sum(value), 4) AS total
 FROM events GROUP BY ALL""")
 def hourly_series(spark: SparkSession, d: str) -> DataFrame:
-    b = S.bucket(t(spark, d, "events"), "ts", "hour", ["event_type"], F.count("*").alias("n"), r(F.avg("value")).alias("mean_value"), r(F.sum("value"), 4).alias("total"))
+    b = S.bucket(t(spark, d, "events"), "ts", "hour", ["event_type"], F.count("*").alias("n"), r(F.avg("value"), 9).alias("mean_value"), r(F.sum("value"), 4).alias("total"))
     return b.select(F.col("bucket").cast("timestamp_ntz").alias("hour"), "event_type", "n", "mean_value", "total")
 
 
