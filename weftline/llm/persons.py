@@ -281,9 +281,9 @@ def link_spellings(
     arrays = [F.col(s) if persons.schema[s].dataType.typeName() == "array" else F.array(s) for s in spellings]
     theirs = persons.select(F.col(person).alias("pid"), F.col(block).alias("blk_"), F.explode(F.array_distinct(F.concat(*[F.coalesce(a, F.array().cast("array<string>")) for a in arrays]))).alias("sp"))
     p_occ = cut_lineage(spelling_nodes(theirs, "blk_", "sp", ["pid"], by_names).dropDuplicates(["pid", "node"]))
-    p_nodes = p_occ.groupBy("node").agg(F.first("blk").alias("blk"), F.first("given").alias("given"), F.first("father").alias("father"), F.min("by").alias("by"))
+    p_nodes = cut_lineage(p_occ.groupBy("node").agg(F.first("blk").alias("blk"), F.first("given").alias("given"), F.first("father").alias("father"), F.min("by").alias("by")))
     m_occ = spelling_nodes(mentions, block, mention, list(mention_keys))
-    m_nodes = m_occ.select("node", "blk", "given", "father", "by").dropDuplicates(["node"])
+    m_nodes = cut_lineage(m_occ.select("node", "blk", "given", "father", "by").dropDuplicates(["node"]))
     p_bands = band_rows(p_nodes, bands)
 
     # rows of the person list: verified links between their spellings, then stars
