@@ -107,12 +107,14 @@ def _fold_partition(n_keys: int, touch: int, flush_rows: int):
 
 
 def merge_intervals(
-    df: DataFrame, keys: Sequence[str], lo: str, hi: str, *, touch: int = 1, fan_in: int = 64, flush_rows: int = 200_000, drop_null_keys: bool = True
-) -> DataFrame:
+    df: DataFrame, keys: Sequence[str], lo: str, hi: str, *, touch: int = 1, fan_in: int = 64, flush_rows: int = 200_000, drop_null_keys: bool = True,
+    tasks: int | None = None,
+) -> DataFrame:
     """Per key the sorted disjoint spans of all its closed integer intervals: ``keys..., spans array<bigint>``.
 
     ``lo`` and ``hi`` are column names or dotted paths of integers.  The tree has as many levels as
-    the number of scan tasks asks for; each level merges at most about ``fan_in`` states in a task.
+    the number of scan tasks asks for; each level merges at most about ``fan_in`` states in a task.  ``tasks`` names that
+    number where ``df`` is no plain scan and asking for it would plan its shuffles twice.
     """
     n = len(keys)
     src = df.select(
@@ -128,7 +130,7 @@ def merge_intervals(
     )
     key_fields = [T.StructField(f"k{i}", src.schema[f"k{i}"].dataType) for i in range(n)]
     schema = T.StructType([*key_fields, T.StructField("part", T.LongType()), T.StructField("spans", T.ArrayType(T.LongType()))])
-    tasks = max(1, src.rdd.getNumPartitions())
+    tasks = tasks or max(1, src.rdd.getNumPartitions())
     parts = src.mapInArrow(_fold_partition(n, touch, flush_rows), schema).withColumn("part", F.spark_partition_id() + F.col("part") * F.lit(tasks))
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
