@@ -37,6 +37,7 @@ def test_readings():
 P = [
     (1, "a", "Πιγιλύγιος Τιπώμου", ["Πιγιλύγιος Τιπώμου", "Πιγι. Τιπώμου"], 50), (4, "a", "Πιγιλγιος Τιπώμου", None, None), (2, "a", "Τιπώμος Πιγιλύγιου", [], 3),
     (3, "b", "Πιγιλύγιος Τιπώμου", ["Πιγιλύγιος Τιπώμου"], 1), (5, "a", "Δωράνος Σακύτου", [None, ""], 2), (6, None, "Πιγιλύγιος Τιπώμου", ["x y"], 9), (7, "a", "Νοβωνώμας Σακύτου", ["Νοβωνώμας Σακύτου"], 1),
+    (None, "a", "Πιγιλύγιος Τιπώμου", None, 1), (8, "a", None, None, 1),
 ]
 M = [
     (1, 0, "a", "Πιγιλύγιωι Τιπώμου", 1), (1, 1, "a", "Τιπώμου, Πιγιλύγιος", 1), (1, 2, "a", "Πιγιλύγιος Τυλωβάμου", None), (1, 3, "a", "Πιγ. Τιπώμου", 1), (2, 0, "b", "Πειγιλύγιος Τιπώμου", 3),
@@ -54,7 +55,7 @@ def links(spark, persons, mentions):
 def test_links(spark):
     clusters, found = links(spark, P, M)
     c = {r["person_id"]: r["cluster"] for r in clusters.collect()}
-    assert c == {1: 1, 4: 1, 2: 2, 3: 3, 5: 5, 6: 6, 7: 5}
+    assert c == {1: 1, 4: 1, 2: 2, 3: 3, 5: 5, 6: 6, 7: 5, 8: 8}
     got = {(r["row_no"], r["elem_no"]): r["cluster"] for r in found.collect()}
     assert got == {(a, b): w for a, b, _, _, w in M if w is not None}
 
@@ -63,7 +64,7 @@ def test_empty_sides(spark):
     clusters, found = links(spark, P[:0], M)
     assert clusters.count() == 0 == found.count()
     clusters, found = links(spark, P, M[:0])
-    assert clusters.count() == len(P) and found.count() == 0
+    assert clusters.count() == len(P) - 1 and found.count() == 0
 
 
 def test_noisy_spellings_are_linked(spark):

@@ -18,7 +18,7 @@ def test_join_equals_brute_force(spark, a, b, t):
     assert got == want
 
 
-REF = [(1, "Phetysados", "Pathopolites", "Kyniphokome"), (2, "Gonotyne", "Bonathites", None), (3, "Pebygetheia", "Phamepolites", None), (4, "Pebygetheia", "Thinenites", None), (5, "Ano Chythyleia", "Phamepolites", None), (6, None, "Phamepolites", None)]
+REF = [(1, "Phetysados", "Pathopolites", "Kyniphokome"), (2, "Gonotyne", "Bonathites", None), (3, "Pebygetheia", "Phamepolites", None), (4, "Pebygetheia", "Thinenites", None), (5, "Ano Chythyleia", "Phamepolites", None), (6, None, "Phamepolites", None), (None, "Gonotyne", "Bonathites", None)]
 CASES = {
     "Phetysados": 1, " phetusados (Path.) ": 1, "Path.: Phetyssados (?)": 1, "near Kyniphokome": 1, "Kynifokome, Pathopolites": 1, "Gono-tyne?": 2, "Gonoty.": 2, "village of Gontoyne [sic]": 2,
     "Pebygetheia (Pham.)": 3, "Thinenites: Pebygethia": 4, "A. Chythyleia": 5, "Chythyleia, Ano": 5, "AnoChythyleia": 5, "ANO CHYTHYLEIÁ": 5,

@@ -58,8 +58,8 @@ def test_operator(spark):
     rows = [(1, "Πωνίγωνоς", "x"), (2, GREEK, "x"), (3, None, "x"), (4, "", "x"), (5, "a b" + "c" * 200_000, "x"), (1, "Πωνίγωνоς", "x")]
     df = spark.createDataFrame(rows, "id int, value string, consistent_form string")
     assert sorted(r["id"] for r in inconsistent_rows(df.drop("consistent_form"), "value").collect()) == [1, 1, 5]
-    got = inconsistent_rows(df.drop("consistent_form"), "value", form=True).filter("id = 1").first()
-    assert got["consistent_form"] == "Πωνίγωνος"
+    got = inconsistent_rows(df, "value", form=True).filter("id = 1").first()
+    assert got["consistent_form"] == "Πωνίγωνος" and got["consistent_form_in"] == "x"
     fixed = {r["id"]: r["v"] for r in df.select("id", consistent(F.col("value")).alias("v")).collect()}
     assert fixed[2] == GREEK and fixed[3] is None and fixed[4] == "" and fixed[5].startswith("a bc") and len(fixed[5]) == 200_003
     assert inconsistent_rows(df.limit(0), "value").count() == 0

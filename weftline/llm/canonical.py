@@ -165,7 +165,7 @@ def map_to_canonical(
     distinct = values.select(F.col(value).alias("val")).filter(F.col("val").rlike(r"[^\s\p{Z}\p{C}]")).groupBy("val").agg(F.count("*").alias("_n")).select("val")
     mine = distinct.mapInArrow(typed, "val string, spelling string, ctx string, cut boolean, toks array<string>")
     src = ref.select(F.col(ref_id).cast("bigint"), (F.col(context) if context else F.lit(None)).cast("string"), *[F.col(n).cast("string").alias(f"n{i}") for i, n in enumerate(names)])
-    theirs = src.mapInArrow(listed, "ref bigint, rctx string, variant string, kind string, toks array<string>")
+    theirs = src.filter(F.col(ref_id).isNotNull()).mapInArrow(listed, "ref bigint, rctx string, variant string, kind string, toks array<string>")
     # spellings and variants are joined as distinct strings; ids of any number may stand behind one variant
     pairs = set_similarity_join(
         mine.filter("spelling <> ''").select(F.col("spelling").alias("id"), "toks"), theirs.select(F.col("variant").alias("id"), "toks"), t

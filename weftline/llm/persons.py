@@ -278,6 +278,7 @@ def link_spellings(
     misses are rarer still.
     """
     bands = tune_paired_bands(similarity, recall)
+    persons = persons.filter(F.col(person).isNotNull())
     arrays = [F.col(s) if persons.schema[s].dataType.typeName() == "array" else F.array(s) for s in spellings]
     theirs = persons.select(F.col(person).alias("pid"), F.col(block).alias("blk_"), F.explode(F.array_distinct(F.concat(*[F.coalesce(a, F.array().cast("array<string>")) for a in arrays]))).alias("sp"))
     p_occ = cut_lineage(spelling_nodes(theirs, "blk_", "sp", ["pid"], by_names).dropDuplicates(["pid", "node"]))

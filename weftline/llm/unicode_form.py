@@ -328,8 +328,11 @@ def consistent(col: Column | str) -> Column:
 
 
 def inconsistent_rows(df: DataFrame, value: str, *, form: bool = False) -> DataFrame:
-    """The rows of ``df`` whose ``value`` is not in the consistent form (with ``form``: and ``consistent_form``)."""
-    schema = T.StructType([*[f for f in df.schema.fields], *([T.StructField("consistent_form", T.StringType())] if form else [])])
+    """The rows of ``df`` whose ``value`` is not in the consistent form (with ``form``: and ``consistent_form``;
+    a column of that name in the input becomes ``consistent_form_in``)."""
+    if form and "consistent_form" in df.columns:
+        df = df.withColumnRenamed("consistent_form", "consistent_form_in")
+    schema = T.StructType([*df.schema.fields, *([T.StructField("consistent_form", T.StringType())] if form else [])])
     pos = df.columns.index(value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
