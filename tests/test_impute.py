@@ -59,3 +59,12 @@ def test_nothing_known(spark):
 
 def test_empty_table(spark):
     assert fill(table(spark, [])).count() == 0
+
+
+def test_clashing_names_and_null_keys(spark):
+    import datetime as dt
+
+    rows = [(1, dt.date(2026, 1, 1), "a", "a", 50.0, 51.0, "p", ""), (2, dt.date(2026, 1, 2), "a", "b", None, 60.0, None, ""), (None, dt.date(2026, 1, 2), None, None, None, None, None, "")]
+    df = table(spark, rows).withColumns({n: F.lit(7) for n in ("per", "grp", "eff", "k", "c", "_per", "_v", "_g0", "guess", "n")})
+    got = {r["id"]: r for r in fill(df).collect()}
+    assert len(got) == 3 and got[2]["x_filled"] is not None and got[2]["src_filled"] == "p" and got[None]["x_filled"] is not None and got[None]["src_filled"] is None and got[1]["_v"] == 7

@@ -16,7 +16,8 @@ Defined results
 * a group or period without any real value (or a null one) has effect 0: the other effects decide;
 * if no row has a real value, nothing can be filled: the value stays null and the mask is true;
 * among equally likely categories the first in order wins; repeated rows count as often as they occur;
-* an input column with the name of an output column is kept under its name plus ``_in``.
+* an input column with the name of an output column is kept under its name plus ``_in``;
+* a row whose key is null keeps null in its missing categories (numbers are filled all the same).
 """
 
 from __future__ import annotations
@@ -162,22 +163,22 @@ def fill_missing(
     src = df
     if numerics:
         mu, groups, periods = fit_mixed(src, numerics, per)
-        at = periods.select(F.col("per").alias("_per"), F.col("eff").alias("_v"))
-        out = out.withColumn("_per", per).join(at, "_per", "left")
+        at = periods.select(F.col("per").alias("__wl_per"), F.col("eff").alias("__wl_v"))
+        out = out.withColumn("__wl_per", per).join(at, "__wl_per", "left")
         for i, f in enumerate(numerics):
-            eff = groups.select(F.col("grp").alias(f"_g{i}"), F.col("eff").alias(f"_u{i}"))
-            out = out.withColumn(f"_g{i}", F.col(f.group)).join(eff, f"_g{i}", "left")
-            guess = F.lit(mu) + F.coalesce(f"_u{i}", F.lit(0.0)) + F.coalesce("_v", F.lit(0.0)) if mu is not None else F.lit(None).cast("double")
+            eff = groups.select(F.col("grp").alias(f"__wl_g{i}"), F.col("eff").alias(f"__wl_u{i}"))
+            out = out.withColumn(f"__wl_g{i}", F.col(f.group)).join(eff, f"__wl_g{i}", "left")
+            guess = F.lit(mu) + F.coalesce(f"__wl_u{i}", F.lit(0.0)) + F.coalesce("__wl_v", F.lit(0.0)) if mu is not None else F.lit(None).cast("double")
             if digits is not None:
                 guess = F.round(guess, digits)
             lost = number_missing(F.col(f.field), f.valid)
             out = out.withColumn(f"{f.field}_filled", F.when(lost, guess).otherwise(F.col(f.field))).withColumn(f"{f.field}_missing", lost)
-        out = out.drop("_per", "_v", *[f"_g{i}" for i in range(len(numerics))], *[f"_u{i}" for i in range(len(numerics))])
+        out = out.drop("__wl_per", "__wl_v", *[f"__wl_g{i}" for i in range(len(numerics))], *[f"__wl_u{i}" for i in range(len(numerics))])
     for s in categories:
         lost = text_missing(F.col(s.field), s.tokens)
-        guesses = _class_scores(src, s, per, key, concentration, max_classes).withColumnRenamed("guess", "_guess")
+        guesses = _class_scores(src, s, per, key, concentration, max_classes).withColumnRenamed("guess", "__wl_guess")
         out = out.join(guesses, key, "left")
-        out = out.withColumn(f"{s.field}_filled", F.when(lost, F.col("_guess")).otherwise(F.col(s.field))).withColumn(f"{s.field}_missing", lost).drop("_guess")
+        out = out.withColumn(f"{s.field}_filled", F.when(lost, F.col("__wl_guess")).otherwise(F.col(s.field))).withColumn(f"{s.field}_missing", lost).drop("__wl_guess")
     return out
 
 
