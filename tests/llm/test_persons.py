@@ -86,3 +86,20 @@ def test_stars(spark):
     e = spark.createDataFrame([(0, 1, 1.0), (1, 2, 0.9), (1, 3, 0.8), (4, 5, 1.0)], "a long, b long, sim double")
     got = {r["id"]: r["center"] for r in star_clusters(rows, e).collect()}
     assert got == {0: 1, 1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
+
+
+def test_given_names_alone(spark):
+    people = [
+        (1, "a", "Θυκυβίος Ψιρωνέφιου", ["Θυκυβίος Ψιρωνέφιου", "Θυκυβίος"], 1), (2, "a", "Θυκυβίος Κεβησήδιου", [], 1), (3, "a", "Λιλεθέτων Μοταβότιου", [], 1),
+        (4, "b", "Λιλεθέτων Σακύτου", [], 1), (5, "b", "Λιλεθέτων Κεβησήδιου", [], 1), (6, "a", "Νοβωνώμας Σακύτου", [], 1), (7, "c", "Ταμίβος Σακύτου", [], 1), (0, "c", "Ταμίβου", ["Ταμίβος"], 1),
+    ]
+    mentions = [
+        (1, 0, "a", "Θυκυβίος", 1),  # listed by one person, though another bears the name too
+        (1, 1, "a", "Θυκυβίου", None),  # in another case: two persons bear it
+        (1, 2, "a", "Λιλεθέτωνος", 3), (1, 3, "b", "Λιλεθέτων", None), (1, 4, "a", "ΛΙΛΕΘΕΤΩΝ", 3), (1, 5, "a", "Δωράνος", 6), (1, 6, "a", "Λιλ.", None),
+        (1, 7, "a", "Μοταβότιος", None), (1, 8, "c", "Ταμίβος", 0), (1, 9, "a", "Verso", None), (1, 10, None, "Λιλεθέτων", None), (1, 11, "c", "Ταμίβος Σακύτου", 0),
+    ]
+    clusters, found = links(spark, people, mentions)
+    assert {r["person_id"]: r["cluster"] for r in clusters.collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: 0, 0: 0}
+    got = {(r["row_no"], r["elem_no"]): r["cluster"] for r in found.collect()}
+    assert got == {(a, b): w for a, b, _, _, w in mentions if w is not None}

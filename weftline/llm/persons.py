@@ -12,7 +12,9 @@ one task, since bands are joined by a key that mixes the block in.
 
 Defined results
 ---------------
-* null, blank and one-part spellings, and rows without a block, mean nobody;
+* null and blank spellings, and rows without a block, mean nobody;
+* a spelling of a given name alone means the person of the block that lists just this spelling, else the only person
+  of the block who bears that given name (by its stem); where several do, and where it is cut short, it means nobody;
 * by-names of the list stand for the full name (in either direction); other given or father's names,
   however well the rest fits, are another person;
 * a spelling as near to two persons goes to the one with more support, then the smaller id;
@@ -73,12 +75,17 @@ def _respell(stem: str) -> str:
     return stem
 
 
+def _words(text: str) -> list[list[str]]:
+    """The folded words of a spelling between its commas, without those that only link names."""
+    parts = [re.findall(r"[^\W\d_]+\.?", p) for p in fold_name(text).split(",")]
+    return [[w for w in p if w.strip(".") not in _LINKS] for p in parts]
+
+
 def read_name(text: str | None) -> list[tuple[str, str]]:
     """The (given, father) readings of a spelling as stems: none, one, or more where order or endings can't be told."""
     if not text:
         return []
-    parts = [re.findall(r"[^\W\d_]+\.?", p) for p in fold_name(text).split(",")]
-    parts = [[w for w in p if w.strip(".") not in _LINKS] for p in parts]
+    parts = _words(text)
     turned = None
     if len(parts[0]) >= 2:
         a, b = parts[0][0], parts[0][1]
@@ -104,6 +111,14 @@ def read_name(text: str | None) -> list[tuple[str, str]]:
     return list(dict.fromkeys((g, f) for x, y in orders for g in _given_stems(x) for f in _father_stems(y)))
 
 
+def read_given(text: str | None) -> list[tuple[str, str]]:
+    """The readings of a spelling that is a given name alone, without a father: its stems, and '=' with the folded word."""
+    words = [w for p in _words(text) for w in p] if text else []
+    if len(words) != 1 or words[0].endswith(".") or len(words[0]) < 2:
+        return []
+    return [("=" + words[0], ""), *((g, "") for g in _given_stems(words[0]))]
+
+
 def _given_stems(word: str) -> list[str]:
     """Stems of a given name: what looks like the genitive of an n-stem may be a nominative in -onos."""
     stem = read_part(word)[0]
@@ -138,13 +153,13 @@ def part_grams(stem: str) -> list[int]:
 
 def spelling_nodes(df: DataFrame, block: str, spelling: str, keys: Sequence[str], by_names: dict[str, list[str]] | None = None) -> DataFrame:
     """``keys..., node, blk, given, father, by`` for each reading of each spelling; ``by`` marks a given name taken from
-    the list of by-names.  ``node`` is a 64-bit hash of block, given and father's name."""
+    the list of by-names.  ``node`` is a 64-bit hash of block, given and father's name; a given name alone has the father ''."""
     n = len(keys)
-    src = df.select(*keys, F.col(block).alias("_b"), F.col(spelling).alias("_s")).filter(F.col("_b").isNotNull() & F.col("_s").rlike(r"\p{L}.*[\s\p{Z},].*\p{L}"))
+    src = df.select(*keys, F.col(block).alias("_b"), F.col(spelling).alias("_s")).filter(F.col("_b").isNotNull() & F.col("_s").rlike(r"\p{L}"))
     fields = ", ".join(f"`{k}` {src.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = lru_cache(maxsize=200_000)(read_name)
+        known = lru_cache(maxsize=200_000)(lambda s: read_name(s) or read_given(s))
         for b in batches:
             row, given, father, by = [], [], [], []
             for i, s in enumerate(b.column(n + 1).to_pylist()):
@@ -265,6 +280,20 @@ def by_name_stems(nicknames: DataFrame, nick: str, full: str, max_rows: int = 10
     return out
 
 
+def given_alone(spellings: DataFrame, known: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(keys..., cluster)`` of the spellings ``(keys..., blk, given)`` without a father whose person can be told.
+
+    ``known(blk, given, father, cluster)`` are the readings of the persons' spellings.  A spelling that one person lists
+    letter for letter (a given with '=') goes before the bearers of its stems; more than one of either means nobody.
+    """
+    who = known.groupBy("blk", "given").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi"))
+    listed = F.startswith("given", F.lit("="))
+    got = spellings.join(who, ["blk", "given"]).groupBy(*keys).agg(
+        *[f(F.when(c, F.col(k))).alias(n) for n, f, c, k in (("a", F.min, listed, "lo"), ("b", F.max, listed, "hi"), ("c", F.min, ~listed, "lo"), ("d", F.max, ~listed, "hi"))]
+    )
+    return got.select(*keys, F.coalesce(F.when(F.expr("a = b"), F.col("a")), F.when(F.expr("c = d"), F.col("c"))).alias("cluster")).filter("cluster is not null")
+
+
 def link_spellings(
     persons: DataFrame, mentions: DataFrame, *, block: str, person: str, spellings: Sequence[str], support: str, mention_keys: Sequence[str], mention: str,
     by_names: dict[str, list[str]] | None = None, similarity: float = 0.3, recall: float = 0.97,
@@ -281,9 +310,11 @@ def link_spellings(
     persons = persons.filter(F.col(person).isNotNull())
     arrays = [F.col(s) if persons.schema[s].dataType.typeName() == "array" else F.array(s) for s in spellings]
     theirs = persons.select(F.col(person).alias("pid"), F.col(block).alias("blk_"), F.explode(F.array_distinct(F.concat(*[F.coalesce(a, F.array().cast("array<string>")) for a in arrays]))).alias("sp"))
-    p_occ = cut_lineage(spelling_nodes(theirs, "blk_", "sp", ["pid"], by_names).dropDuplicates(["pid", "node"]))
+    p_all = cut_lineage(spelling_nodes(theirs, "blk_", "sp", ["pid"], by_names).dropDuplicates(["pid", "node"]))
+    p_occ = p_all.filter("father <> ''")
     p_nodes = cut_lineage(p_occ.groupBy("node").agg(F.first("blk").alias("blk"), F.first("given").alias("given"), F.first("father").alias("father"), F.min("by").alias("by")))
-    m_occ = spelling_nodes(mentions, block, mention, list(mention_keys))
+    m_all = spelling_nodes(mentions, block, mention, list(mention_keys))
+    m_occ = m_all.filter("father <> ''")
     m_nodes = cut_lineage(m_occ.select("node", "blk", "given", "father", "by").dropDuplicates(["node"]))
     p_bands = band_rows(p_nodes, bands)
 
@@ -300,6 +331,13 @@ def link_spellings(
     heads = stars.groupBy("center").agg(F.min("id").alias("cluster"))
     clusters = cut_lineage(stars.join(heads, "center").select(F.col("id").alias("pid"), "cluster"))
 
+    # rows with given names alone join the only person who bears the name; the smallest id of a person may then be theirs
+    lone = p_all.groupBy("pid").agg(F.max("father").alias("f")).filter("f = ''").select("pid")
+    alone = given_alone(p_all.join(lone, "pid", "left_semi").filter("not startswith(given, '=')").select("pid", "blk", "given"), p_occ.join(clusters, "pid"), ["pid"])
+    joined = clusters.join(alone.withColumnRenamed("cluster", "to"), "pid", "left").select("pid", F.coalesce("to", "cluster").alias("c"))
+    least = joined.groupBy("c").agg(F.min("pid").alias("cluster"))
+    clusters = cut_lineage(joined.join(least, "c").select("pid", "cluster"))
+
     # occurrences: the nearest verified spelling of a person
     cand = p_bands.withColumnRenamed("node", "rn").join(band_rows(m_nodes, bands).withColumnRenamed("node", "ln"), "key").select("ln", "rn").distinct()
     hits = verified_pairs(m_nodes, p_nodes, cand)
@@ -318,4 +356,6 @@ def link_spellings(
         .agg(F.min("b").alias("b"))
         .select(*mention_keys, "b.cluster", "b.far", "b.sim")
     )
+    alone = given_alone(m_all.filter("father = ''").select(*mention_keys, "blk", "given"), p_all.join(clusters, "pid"), mention_keys)
+    found = found.unionAll(alone.select(*mention_keys, "cluster", F.lit(0).alias("far"), F.lit(1.0).alias("sim")))
     return clusters.withColumnRenamed("pid", person), found
