@@ -258,18 +258,26 @@ def string_forms(spark: SparkSession, d: str) -> DataFrame:
         X.address_kind(F.col("source_url")).alias("kind"), X.trim_chars(F.col("source_url")).alias("trimmed"))
 
 
-@query("fuzzy_best", "STR25", "SET09", sql="""
+@query("fuzzy_best", "SET09", sql="""
 WITH p AS (SELECT a.place_name AS q, b.place_name AS c, 1 - levenshtein(lower(a.place_name), lower(b.place_name)) / greatest(length(a.place_name), length(b.place_name)) AS s
   FROM (SELECT DISTINCT place_name FROM place_reference) a JOIN (SELECT DISTINCT place_name FROM place_reference) b ON a.place_name <> b.place_name AND lower(left(a.place_name, 1)) = lower(left(b.place_name, 1)))
 SELECT q, arg_min(c, (-round(s, 9), c)) AS best, round(max(s), 6) AS score FROM p GROUP BY 1""")
 def fuzzy_best(spark: SparkSession, d: str) -> DataFrame:
-    """The most similar other name that begins alike: the first letter blocks the pairs."""
+    """The most similar other name that begins alike: the first letter blocks the pairs.  ``fuzzy_best_all`` has no such block."""
     a = t(spark, d, "place_reference").select(F.col("place_name").alias("q")).distinct().withColumn("b", F.lower(F.substring("q", 1, 1)))
     c = a.select(F.col("q").alias("c"), "b")
     p = a.join(c, "b").filter("q <> c").withColumn("s", X.levenshtein_ratio(F.lower("q"), F.lower("c")))
     return p.groupBy("q").agg(F.min_by("c", F.struct(-F.round("s", 9), F.col("c"))).alias("best"), r(F.max("s")).alias("score"))
 
 
+@query("fuzzy_best_all", "STR25", "SET09")
+def fuzzy_best_all(spark: SparkSession, d: str) -> DataFrame:
+    """The most similar of all other names, however it begins (ties: the first in order).  The list of places is fixed."""
+    a = t(spark, d, "place_reference").select(F.col("place_name").alias("q")).distinct()
+    p = a.join(a.withColumnRenamed("q", "c"), F.col("q") != F.col("c")).withColumn("s", F.round(X.levenshtein_ratio(F.lower("q"), F.lower("c")), 9))
+    return p.groupBy("q").agg(F.min_by("c", F.struct(-F.col("s"), F.col("c"))).alias("best"), r(F.max("s")).alias("score"))
+
+
 # -- historical periods ------------------------------------------------------------------------------------------------------
 
 
