@@ -126,7 +126,7 @@ def name_pairs(spark: SparkSession, d: str) -> DataFrame:
     j = pairs.join(side("a"), F.col("ka") == F.col("a_person_id")).join(side("b"), F.col("kb") == F.col("b_person_id"))
     lo = lambda x: F.coalesce(F.col(f"{x}_year_range.year_from"), F.col(f"{x}_year_range.year_to"))
     hi = lambda x: F.coalesce(F.col(f"{x}_year_range.year_to"), F.col(f"{x}_year_range.year_from"))
-    return j.filter(E.same_person(F.col("a_canonical_name"), F.col("b_canonical_name"), lo("a"), hi("a"), lo("b"), hi("b"), similarity=0.9)).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+    return j.filter(E.same_person(F.col("a_canonical_name"), F.col("b_canonical_name"), lo("a"), hi("a"), lo("b"), hi("b"))).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
 
 
 @query("name_clusters", "ENT02", "ENT03", "ENT05")
