@@ -1,5 +1,7 @@
 """Queries that must do the whole job, on small tables of their own, against brute force."""
 
+import random
+
 from pyspark.sql import functions as F
 
 import weftline.plans  # noqa: F401
@@ -53,3 +55,41 @@ def test_name_pairs_follow_the_rule(spark, tmp_path):
     want = [(i, j) for i, a, n, x in people for j, b, m, y in people if i < j and a and a == b and n and m and near(x, y) and one(n, m)]
     assert sorted(got) == want
     assert (0, 3) in got and (0, 4) not in got  # with and without a remark; dates that rule it out
+
+
+def shortest_way_shares(edges):
+    """Normalised betweenness by counting, for each pair of vertices, the shortest ways through each third one."""
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    dist, ways = {}, {}
+    for s in near:
+        dist[s], ways[s], front = {s: 0}, {s: 1}, [s]
+        while front:
+            new = []
+            for v in front:
+                for w in near[v]:
+                    if w not in dist[s]:
+                        dist[s][w], ways[s][w] = dist[s][v] + 1, 0
+                        new.append(w)
+                    if dist[s][w] == dist[s][v] + 1:
+                        ways[s][w] += ways[s][v]
+            front = new
+    n = len(near)
+    through = lambda s, v, t: v in dist[s] and t in dist[v] and t in dist[s] and dist[s][v] + dist[v][t] == dist[s][t]
+    return {v: sum(ways[s][v] * ways[v][t] / ways[s][t] for s in near for t in near if len({s, v, t}) == 3 and through(s, v, t)) / max(1, (n - 1) * (n - 2)) for v in near}
+
+
+def test_betweenness_scores_the_places_of_the_documents(spark, tmp_path):
+    rnd = random.Random(4)
+    docs = [(i, f" place{rnd.randrange(30)}", None, [f"n{rnd.randrange(40)}" for _ in range(3)]) for i in range(130)] + [(900, "lone", None, ["x"]), (901, None, None, ["n1", "n2"])]
+    docs += [(1000 + i, p, None, [f"far{k}", f"off{k}"]) for i, (p, k) in enumerate([("q1", 1), ("q2", 1), ("q2", 2), ("q3", 2)])]  # a component of its own
+    got = {r["id"]: r["betweenness"] for r in run(spark, tmp_path, "betweenness", docs, "row_no long, place string, archive_key string, person_names array<string>", "papyri_documents")}
+    at = {}
+    for _, place, _, names in docs:
+        if place:
+            at.setdefault(place.strip(), set()).update(names)
+    want = shortest_way_shares([(a, b) for a in at for b in at if a < b and len(at[a] & at[b]) >= 2])
+    assert len(want) > 15 and {"q1", "q2", "q3"} < set(want) and want["q2"] > 0
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-6 for k in want)

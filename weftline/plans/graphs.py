@@ -105,9 +105,8 @@ def insularity(spark: SparkSession, d: str) -> DataFrame:
 
 @query("betweenness", "GRA05")
 def betweenness(spark: SparkSession, d: str) -> DataFrame:
-    """Nomes joined by the endings their place names share: a small graph, exact betweenness."""
-    p = t(spark, d, "place_reference").select("nome", F.expr("right(place_name, 5)").alias("e")).distinct()
-    return rounded(G.betweenness(G.shared_neighbours(p, "nome", "e", 1)))
+    """The places of :func:`place_network`: how often each lies on the shortest ways between others, exactly."""
+    return rounded(G.betweenness(place_network(spark, d)))
 
 
 @query("supplier_components", "GRA04", "EXT14")
