@@ -1,6 +1,7 @@
 """Queries that must do the whole job, on small tables of their own, against brute force."""
 
 import random
+import unicodedata
 
 from pyspark.sql import functions as F
 
@@ -93,3 +94,16 @@ def test_betweenness_scores_the_places_of_the_documents(spark, tmp_path):
     want = shortest_way_shares([(a, b) for a in at for b in at if a < b and len(at[a] & at[b]) >= 2])
     assert len(want) > 15 and {"q1", "q2", "q3"} < set(want) and want["q2"] > 0
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_suppliers_share_orders_of_any_quantity(spark, tmp_path):
+    lines = [(1, 1, 1.0), (1, 2, 50.0), (2, 2, 3.0), (2, 3, 49.0), (3, 4, 2.0), (3, 5, 2.0), (4, 6, 50.0), (5, 5, 1.0), (5, None, 1.0)]
+    got = run(spark, tmp_path, "supplier_components", lines, "l_orderkey long, l_suppkey long, l_quantity double", "lineitem")
+    assert {r["id"]: r["component"] for r in got} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
+
+
+def test_every_name_is_folded(spark, tmp_path):
+    names = ["Ζήνων", "Ζή\u0301νων", "Ζη\u0301νων", "Ἀπολλώνιος", "Ζήνων, φύλαξ", "Zén\u200bon", "Ὥρος (?)", "", None]
+    got = {r["our_name"]: r["folded"] for r in run(spark, tmp_path, "accent_fold_all", [(n,) for n in names], "our_name string", "trismegistos_matches_top50")}
+    bare = lambda n: "".join(c for c in unicodedata.normalize("NFD", n) if unicodedata.category(c) != "Mn")
+    assert got == {n: bare(n) for n in names if n is not None}

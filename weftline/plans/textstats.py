@@ -213,13 +213,20 @@ def place_normalised(spark: SparkSession, d: str) -> DataFrame:
     return k.groupBy(X.drop_remark(F.col("place")).alias("place")).agg(F.count("*").alias("n"))
 
 
-@query("accent_fold", "STR04", sql="""
+@query("accent_fold", sql="""
 SELECT DISTINCT our_name, strip_accents(our_name) AS folded FROM trismegistos_matches_top50 WHERE regexp_matches(our_name, '^[A-Za-zα-ωΑ-Ωάέήίόύώ .]+$')""")
 def accent_fold(spark: SparkSession, d: str) -> DataFrame:
+    """Names of plain letters only, where DuckDB folds alike; ``accent_fold_all`` has every name."""
     k = t(spark, d, "trismegistos_matches_top50").select("our_name").filter(F.col("our_name").rlike("^[A-Za-zα-ωΑ-Ωάέήίόύώ .]+$")).distinct()
     return k.select("our_name", X.fold_accents(F.col("our_name")).alias("folded"))
 
 
+@query("accent_fold_all", "STR04")
+def accent_fold_all(spark: SparkSession, d: str) -> DataFrame:
+    k = t(spark, d, "trismegistos_matches_top50").select("our_name").filter("our_name is not null").distinct()
+    return k.select("our_name", X.fold_accents(F.col("our_name")).alias("folded"))
+
+
 @query("stem_suffix", "STR05", "STR06", sql="""
 WITH k AS (SELECT DISTINCT lower(strip_accents(unnest(string_split(our_name, ' ')))) AS w FROM trismegistos_matches_top50 WHERE regexp_matches(our_name, '^[Α-Ω][α-ωάέήίόύώ]+( [Α-Ω][α-ωάέήίόύώ]+)?$'))
 SELECT w, CASE WHEN suffix(w, 'ωνος') AND length(w) >= 6 THEN left(w, length(w) - 4) || 'ων' WHEN suffix(w, 'ωνι') AND length(w) >= 5 THEN left(w, length(w) - 3) || 'ων'
