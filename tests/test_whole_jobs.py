@@ -107,3 +107,24 @@ def test_every_name_is_folded(spark, tmp_path):
     got = {r["our_name"]: r["folded"] for r in run(spark, tmp_path, "accent_fold_all", [(n,) for n in names], "our_name string", "trismegistos_matches_top50")}
     bare = lambda n: "".join(c for c in unicodedata.normalize("NFD", n) if unicodedata.category(c) != "Mn")
     assert got == {n: bare(n) for n in names if n is not None}
+
+
+def test_only_missing_keys_are_fetched(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b"), (4, "c"), (5, None), (6, "d")], "n long, k string")
+    cache, asked = spark.createDataFrame([("a", 10), ("z", 99)], "k string, v int"), []
+
+    def fetch(keys):
+        asked.extend(r["k"] for r in keys.collect())
+        return spark.createDataFrame([("b", 20), ("d", None)], "k string, v int")
+
+    got, grown = entity.through_cache(df, "k", cache, "v", fetch)
+    assert sorted(asked) == ["b", "c", "d"]
+    assert {r["n"]: (r["v"], r["cached"]) for r in got.collect()} == {1: (10, True), 2: (20, False), 3: (20, False), 4: (None, False), 5: (None, False), 6: (None, False)}
+    assert sorted((r["k"], r["v"]) for r in grown.collect()) == [("a", 10), ("b", 20), ("z", 99)]
+
+
+def test_reduction(spark, tmp_path):
+    people = [(i, "a", n, 1, None) for i, n in enumerate(["Ζήνων Θέωνος", "Ζήνων Θέωνος, φύλαξ", "Δίδυμος Σακύτου", "Ζήνων Θέωνος"])]
+    table = "person_id long, archive_key string, canonical_name string, mention_count int, year_range struct<year_from int, year_to int>"
+    assert [tuple(r) for r in run(spark, tmp_path, "name_reduction", people, table, "canonical_persons")] == [(4, 2, 50.0)]
+    assert entity.reduction(spark.range(0), spark.range(0)).first()["reduction_pct"] is None

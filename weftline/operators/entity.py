@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -76,3 +77,19 @@ def pipeline_names(found: Column, explicit: Column, sender: Column, recipient: C
     return F.array_distinct(F.filter(every, lambda x: x.isNotNull() & (F.trim(x) != "")))
 
 
+def reduction(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: ``n_before``, ``n_after`` and by how many per cent resolution made the rows fewer (null without rows)."""
+    n = before.agg(F.count("*").alias("n_before")).crossJoin(after.agg(F.count("*").alias("n_after")))
+    return n.withColumn("reduction_pct", F.when(F.col("n_before") > 0, 100.0 * (1 - F.col("n_after") / F.col("n_before"))))
+
+
+def through_cache(df: DataFrame, key: str, cache: DataFrame, value: str, fetch: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """``df`` with ``value`` and ``cached``, and the cache for the next run.
+
+    ``cache`` and what ``fetch`` returns have ``(key, value)``, each key once.  ``fetch`` gets the distinct keys that the
+    cache lacks, and no others; keys that it does not return, or returns without a value, stay null and uncached.
+    """
+    missing = df.select(key).filter(F.col(key).isNotNull()).distinct().join(cache.select(key), key, "left_anti")
+    new = fetch(missing).select(key, value).filter(F.col(value).isNotNull())
+    grown = cache.select(key, value, F.lit(True).alias("cached")).unionByName(new.withColumn("cached", F.lit(False)))
+    return df.join(grown, key, "left").withColumn("cached", F.coalesce("cached", F.lit(False))), grown.select(key, value)

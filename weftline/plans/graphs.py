@@ -128,7 +128,7 @@ def name_pairs(spark: SparkSession, d: str) -> DataFrame:
     return j.filter(E.same_person(F.col("a_canonical_name"), F.col("b_canonical_name"), lo("a"), hi("a"), lo("b"), hi("b"))).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
 
 
-@query("name_clusters", "ENT02", "ENT03", "ENT05")
+@query("name_clusters", "ENT02", "ENT03")
 def name_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Greedy clusters of the person rows of each archive, merged to records."""
     p = t(spark, d, "canonical_persons").select("person_id", "archive_key", "canonical_name", "mention_count", "year_range.year_from", "year_range.year_to")
@@ -137,7 +137,25 @@ def name_clusters(spark: SparkSession, d: str) -> DataFrame:
     return E.merge_records(p.join(c.select("person_id", "leader"), "person_id"), "leader", "canonical_name", "mention_count", "year_from", "year_to")
 
 
-@query("all_document_names", "ENT06", "ENT07", "SET06", sql="""
+@query("name_reduction", "ENT05")
+def name_reduction(spark: SparkSession, d: str) -> DataFrame:
+    """By how many per cent the clusters are fewer than the person rows."""
+    return rounded(E.reduction(t(spark, d, "canonical_persons"), name_clusters(spark, d)))
+
+
+@query("cached_references", "ENT07")
+def cached_references(spark: SparkSession, d: str) -> DataFrame:
+    """References of every document with a TM number: the batches before the last are the cache, the last one is fetched from."""
+    docs = t(spark, d, "papyri_documents").select("row_no", F.trim("tm_id").alias("tm_id"), "cross_refs", "batch_date").filter("tm_id <> ''")
+    last = docs.agg(F.max("batch_date").alias("last"))
+    known = docs.filter("cross_refs is not null").crossJoin(F.broadcast(last))
+    refs = lambda k: k.groupBy("tm_id").agg(F.min_by("cross_refs", "row_no").alias("refs"))
+    source = refs(known.filter("batch_date is null or batch_date = last"))
+    got, _ = E.through_cache(docs.select("row_no", "tm_id"), "tm_id", refs(known.filter("batch_date < last")), "refs", lambda keys: source.join(keys, "tm_id", "left_semi"))
+    return got.select("row_no", "tm_id", F.size(F.map_keys("refs")).alias("n_refs"), "cached")
+
+
+@query("all_document_names", "ENT06", "SET06", sql="""
 WITH k AS (SELECT row_no, list_concat(list_concat(coalesce(explicit_names, []), coalesce(person_names, [])), [sender, recipient]) AS l FROM papyri_documents)
 SELECT row_no, x AS name FROM (SELECT row_no, unnest(list_distinct(list_filter(l, lambda x: x IS NOT NULL AND trim(x) <> ''))) AS x FROM k)""")
 def all_document_names(spark: SparkSession, d: str) -> DataFrame:
