@@ -8,7 +8,8 @@ from weftline.llm.canonical import map_to_canonical
 from weftline.llm.matching import match_names, match_teams
 from weftline.llm.mixing import mix_report, mix_sources
 from weftline.llm.persons import by_name_stems, link_spellings
-from weftline.llm.pii import detect_details, forename_set, mask_details
+from weftline.llm.name_tagger import fit_tagger
+from weftline.llm.pii import detect_details, forename_set, mask_details, unmask_details
 from weftline.llm.tokens import decode_corpus, encode_corpus
 from weftline.llm.unicode_form import inconsistent_rows
 from weftline.tables import load
@@ -161,14 +162,22 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 DEMO_KEY = b"weftline demonstration key"
 
 
+def _tagger(spark: SparkSession, sf_dir: str):
+    return fit_tagger(load(spark, sf_dir, "documents"), "doc_id", "text", forename_set(load(spark, sf_dir, "given_names"), "given_name"))
+
+
 @query("p10_found")
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = forename_set(load(spark, sf_dir, "given_names"), "given_name")
-    return detect_details(load(spark, sf_dir, "documents"), "doc_id", "text", names)
+    return detect_details(load(spark, sf_dir, "documents"), "doc_id", "text", _tagger(spark, sf_dir))
 
 
 @query("p10_masked")
 def p10_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text with its details replaced by typed, format-preserving pseudonyms."""
-    names = forename_set(load(spark, sf_dir, "given_names"), "given_name")
-    return mask_details(load(spark, sf_dir, "documents"), "doc_id", "text", names, DEMO_KEY)
+    return mask_details(load(spark, sf_dir, "documents"), "doc_id", "text", _tagger(spark, sf_dir), DEMO_KEY)
+
+
+@query("p10_unmasked")
+def p10_unmasked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The masked texts with their numbers and dates taken back by the key."""
+    return unmask_details(p10_masked(spark, sf_dir), "doc_id", "text", DEMO_KEY)
