@@ -49,3 +49,9 @@ def test_offsets_cover_split_characters(spark):
 def test_byte_table_is_a_bijection():
     table = K.byte_characters()
     assert sorted(table) == list(range(256)) and len(set(table.values())) == 256
+
+
+def test_counting_agrees_with_encoding():
+    texts = ["", "a b  c\n\n", "Größe 12 κόσμος", "x" * 5000, "a b  c\n\n", "<|endoftext|>"]
+    sizes, counts = K.count_and_fold(texts, K.DEFAULT_RANKS, 64)
+    assert sizes.tolist() == [len(K._encode([x], K.DEFAULT_VOCABULARY, False)[0]) for x in texts] == counts.sum(axis=1).astype(int).tolist()

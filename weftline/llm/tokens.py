@@ -21,12 +21,62 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: where the public vocabulary files lie unless a caller names another place
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+#: the same vocabulary as ranks, for counting alone
+DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+# Fixed value: how the vocabulary splits a text before merging.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def shipped(spark: SparkSession, path: str) -> str:
+    """Send the vocabulary file along with the job: executors need no copy of their own."""
+    if os.path.exists(path):
+        spark.sparkContext.addFile(path)
+    return path
+
+
+def _local(path: str) -> str:
+    """The file's place on this machine: as named, or as shipped."""
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+
+
+@lru_cache(maxsize=4)
+def _counter(path: str):
+    import base64
+
+    import tiktoken
+
+    with open(_local(path), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("counter", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+
+@lru_cache(maxsize=4)
+def _fold(width: int) -> np.ndarray:
+    """Token id -> one of ``width`` buckets, the same everywhere."""
+    return np.random.default_rng(4711).integers(0, width, 1 << 18)
+
+
+def count_and_fold(texts: list[str], path: str = DEFAULT_RANKS, width: int = 0) -> tuple[np.ndarray, np.ndarray | None]:
+    """(number of tokens of each text, counts of their ids folded into ``width`` buckets).  Equal texts are encoded once."""
+    t = _counter(path)
+    slot: dict[str, int] = {}
+    at = np.array([slot.setdefault(x, len(slot)) for x in texts], dtype=np.int64)
+    ids = [t.encode_ordinary(x) for x in slot]
+    sizes = np.array([len(i) for i in ids], dtype=np.int64)
+    if not width:
+        return sizes[at], None
+    counts = np.zeros((len(ids), width), dtype=np.float32)
+    fold = _fold(width)
+    for k, i in enumerate(ids):
+        counts[k] = np.bincount(fold[i], minlength=width)
+    return sizes[at], counts[at]
 
 
 @lru_cache(maxsize=4)
@@ -35,7 +85,7 @@ def tokenizer(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
+    t = Tokenizer.from_file(_local(path))
     t.encode_special_tokens = True
     return t
 
@@ -95,6 +145,7 @@ def _list_array(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 def encode_corpus(df: DataFrame, key: str, text: str, *, path: str = DEFAULT_VOCABULARY, offsets: bool = False, block_chars: int = 2_000_000) -> DataFrame:
     """``(key, ids)``, with ``offsets`` also ``starts`` and ``ends`` of each token in code points of the text."""
+    shipped(df.sparkSession, path)
     src = df.select(F.col(key), F.col(text).alias("_text"))
     fields = [src.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType()))]
     if offsets:
