@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from weftline.operators.impute import CategoryField, NumericField, fill_missing, missing_cells
+from weftline.operators.impute import CategoryField, NumericField, fill_missing, filled_cells
 
 SCHEMA = "id long, day date, team string, other string, x double, y double, src string, x_filled string"
 
@@ -23,7 +23,7 @@ def test_every_stand_in_is_found(spark):
     words = [None, "", "  ", "-", "?", "N/A", "n.a.", "none", "unknown"]
     rows = [(i, day, "a", "b", v, 70.0, "real", "clash") for i, v in enumerate(bad)] + [(100 + i, day, None, "b", 71.0, 70.0, w, "clash") for i, w in enumerate(words)]
     got = fill(table(spark, rows))
-    cells = {(r["id"], r["field_name"]) for r in missing_cells(got, "id", ["x", "y", "src"]).collect()}
+    cells = {(r["id"], r["field_name"]) for r in filled_cells(got, "id", ["x", "y", "src"]).collect()}
     assert cells == {(i, "x") for i in range(len(bad))} | {(100 + i, "src") for i in range(len(words))}
     assert got.count() == len(rows) and "x_filled_in" in got.columns
     assert got.filter("x_filled is null or src_filled is null").count() == 0
@@ -67,4 +67,32 @@ def test_clashing_names_and_null_keys(spark):
     rows = [(1, dt.date(2026, 1, 1), "a", "a", 50.0, 51.0, "p", ""), (2, dt.date(2026, 1, 2), "a", "b", None, 60.0, None, ""), (None, dt.date(2026, 1, 2), None, None, None, None, None, "")]
     df = table(spark, rows).withColumns({n: F.lit(7) for n in ("per", "grp", "eff", "k", "c", "_per", "_v", "_g0", "guess", "n")})
     got = {r["id"]: r for r in fill(df).collect()}
-    assert len(got) == 3 and got[2]["x_filled"] is not None and got[2]["src_filled"] == "p" and got[None]["x_filled"] is not None and got[None]["src_filled"] is None and got[1]["_v"] == 7
+    assert len(got) == 3 and got[2]["x_filled"] is not None and got[2]["src_filled"] == "p" and got[None]["x_filled"] is not None and got[None]["src_filled"] == "p" and got[1]["_v"] == 7
+
+
+def test_held_out_cells_of_the_real_table(spark):
+    """A tenth of the real values is hidden: errors are smaller than those of the overall mean and of the commonest source."""
+    import os
+
+    import pytest
+
+    from weftline.plans.p03_missing import PPG_RANGE
+    from weftline.tables import load
+
+    if not os.path.exists("/root/testdata/sf0.1"):
+        pytest.skip("the test tables are not here")
+    from weftline.operators.impute import number_missing, text_missing
+
+    src = load(spark, "/root/testdata/sf0.1", "predictions_2026").select("prediction_id", "game_date", "home_team", "away_team", "home_ppg", "away_ppg", "stats_source")
+    real = src.filter(~number_missing(F.col("home_ppg"), PPG_RANGE) & ~text_missing(F.col("stats_source")))
+    hide = F.pmod(F.xxhash64("prediction_id"), F.lit(10)) == 0
+    holed = src.join(real.select("prediction_id", F.lit(True).alias("ok")), "prediction_id", "left").withColumn("hid", hide & F.col("ok").isNotNull())
+    given = holed.select("prediction_id", "game_date", "home_team", "away_team", F.when(~F.col("hid"), F.col("home_ppg")).alias("home_ppg"), "away_ppg", F.when(~F.col("hid"), F.col("stats_source")).alias("stats_source"))
+    out = fill_missing(given, "prediction_id", time="game_date", numerics=[NumericField("home_ppg", "home_team", PPG_RANGE), NumericField("away_ppg", "away_team", PPG_RANGE)], categories=[CategoryField("stats_source", ("home_team", "away_team"))])
+    x = out.select("prediction_id", "home_ppg_filled", "stats_source_filled").join(holed.filter("hid"), "prediction_id")
+    mean = real.agg(F.avg("home_ppg")).first()[0]
+    top = real.groupBy("stats_source").count().orderBy(F.desc("count")).first()[0]
+    r = x.agg(F.avg(F.abs(F.col("home_ppg_filled") - F.col("home_ppg"))).alias("e"), F.avg(F.abs(F.lit(mean) - F.col("home_ppg"))).alias("b"),
+              F.avg((F.col("stats_source_filled") == F.col("stats_source")).cast("double")).alias("a"), F.avg((F.col("stats_source") == top).cast("double")).alias("c")).first()
+    print("held-out error of home_ppg", r["e"], "of the mean", r["b"], "; sources right", r["a"], "commonest", r["c"])
+    assert r["e"] < 0.75 * r["b"] and r["a"] >= r["c"] - 0.02

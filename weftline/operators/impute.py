@@ -3,10 +3,10 @@
 Numerics follow a mixed-effects model ``y = mu + u[group] + v[period] + e``: group and period are
 random effects, their variances come from the method of moments, and each effect is the mean residual
 shrunk by ``n / (n + var_e / var_effect)``.  Two sweeps of backfitting separate group from period.
-Categories follow a multinomial model whose log-odds add the shrunk contributions of every group
-column and of the period to the overall log-shares (Dirichlet shrinkage with a given concentration).
+Categories follow a multinomial logistic model: a softmax over indicators of every group column and of the period, hashed
+to a bounded number of weights that a ridge draws towards the overall shares, fitted by distributed gradients.
 
-All statistics are taken over all rows, but from one table of cells (group, period) that is aggregated
+All statistics are taken over all rows, but from tables of cells (group, period) that are aggregated
 map-side first; hot groups therefore never meet in one task as raw rows.
 
 Defined results
@@ -15,9 +15,10 @@ Defined results
   in lower case, in ``tokens``;
 * a group or period without any real value (or a null one) has effect 0: the other effects decide;
 * if no row has a real value, nothing can be filled: the value stays null and the mask is true;
+* a filled number never leaves its ``valid`` range;
 * among equally likely categories the first in order wins; repeated rows count as often as they occur;
 * an input column with the name of an output column is kept under its name plus ``_in``;
-* a row whose key is null keeps null in its missing categories (numbers are filled all the same).
+* a row whose key is null is filled all the same.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import FeatureHasher
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,35 +122,32 @@ def fit_mixed(df: DataFrame, fields: Sequence[NumericField], period: Column, swe
     return mu, groups, periods
 
 
-def _class_scores(df: DataFrame, spec: CategoryField, period: Column, key: str, concentration: float, max_classes: int) -> DataFrame:
-    """``(key, guess)`` for every row whose category is missing."""
+def _guess_category(df: DataFrame, out: DataFrame, spec: CategoryField, period: Column, name: str, ridge: float, buckets: int, max_classes: int) -> DataFrame:
+    """``out`` with the likeliest category of every row in column ``name``, by a multinomial model fitted on the real ones."""
     real = ~text_missing(F.col(spec.field), spec.tokens)
     prior = df.filter(real).groupBy(F.col(spec.field).alias("c")).agg(F.count("*").alias("n")).orderBy("c").limit(max_classes + 1).collect()
     if len(prior) > max_classes:
         raise ValueError(f"{spec.field} has more than {max_classes} categories; raise max_classes or group them first")
-    total = sum(r["n"] for r in prior)
-    share = {r["c"]: r["n"] / total for r in prior}
-    dims = [*[(f"g{i}", F.col(g)) for i, g in enumerate(spec.groups)], ("per", period)]
-    lost = df.filter(~real).select(F.col(key).alias("k"), *[c.alias(n) for n, c in dims])
-    if not prior:
-        return lost.select(F.col("k").alias(key), F.lit(None).cast("string").alias("guess"))
-    pi = F.create_map(*[x for c, p in share.items() for x in (F.lit(c), F.lit(p))])
-    cand = lost.withColumn("c", F.explode(F.array(*[F.lit(c) for c in share])))
-    score = F.log(pi[F.col("c")])
-    for n, c in dims:
-        seen = df.filter(real & c.isNotNull()).groupBy(c.alias(n), F.col(spec.field).alias("c")).agg(F.count("*").alias(f"n_{n}"))
-        # the counts of all classes of one group value lie in one small map: one join by the group alone
-        table = seen.groupBy(n).agg(F.map_from_entries(F.collect_list(F.struct("c", f"n_{n}"))).alias(f"m_{n}"), F.sum(f"n_{n}").alias(f"t_{n}"))
-        cand = cand.join(table, n, "left")
-        post = (F.coalesce(F.col(f"m_{n}")[F.col("c")], F.lit(0)) + concentration * pi[F.col("c")]) / (F.coalesce(f"t_{n}", F.lit(0)) + concentration)
-        score = score + F.log(post) - F.log(pi[F.col("c")])
-    best = cand.withColumn("score", F.round(score, 9)).groupBy("k").agg(F.min_by("c", F.struct(-F.col("score"), F.col("c"))).alias("guess"))
-    return best.select(F.col("k").alias(key), "guess")
+    classes = [r["c"] for r in prior]
+    if len(classes) < 2:
+        return out.withColumn(name, F.lit(classes[0] if classes else None).cast("string"))
+    dims = {f"__wl_d{i}": c.cast("string") for i, c in enumerate([*[F.col(g) for g in spec.groups], period])}
+    number = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i)))])
+    hasher = FeatureHasher(inputCols=list(dims), outputCol="__wl_x", numFeatures=buckets)
+    cells = df.filter(real).select(*[c.alias(n) for n, c in dims.items()], number[F.col(spec.field)].alias("label")).groupBy(*dims, "label").agg(F.count("*").cast("double").alias("w"))
+    fit = LogisticRegression(
+        family="multinomial", featuresCol="__wl_x", labelCol="label", weightCol="w", regParam=ridge, standardization=False, maxIter=60, tol=1e-7,
+        predictionCol="__wl_k", rawPredictionCol="__wl_raw", probabilityCol="__wl_prob",
+    )
+    model = fit.fit(hasher.transform(cut_lineage(cells)))
+    scored = model.transform(hasher.transform(out.withColumns(dims)))
+    guess = F.get(F.array(*[F.lit(c) for c in classes]), F.col("__wl_k").cast("int"))
+    return scored.withColumn(name, guess).drop(*dims, "__wl_x", "__wl_raw", "__wl_prob", "__wl_k")
 
 
 def fill_missing(
     df: DataFrame, key: str, *, numerics: Sequence[NumericField] = (), categories: Sequence[CategoryField] = (), time: str | None = None,
-    period: str = "week", digits: int | None = None, concentration: float = 8.0, max_classes: int = 1000,
+    period: str = "week", digits: int | None = None, ridge: float = 1e-4, buckets: int = 1 << 14, max_classes: int = 100,
 ) -> DataFrame:
     """``df`` with, per field, ``<field>_filled`` and the mask ``<field>_missing``.  ``key`` is unique per row.
 
@@ -171,18 +171,25 @@ def fill_missing(
             guess = F.lit(mu) + F.coalesce(f"__wl_u{i}", F.lit(0.0)) + F.coalesce("__wl_v", F.lit(0.0)) if mu is not None else F.lit(None).cast("double")
             if digits is not None:
                 guess = F.round(guess, digits)
+            guess = F.when(guess.isNotNull(), F.greatest(F.least(guess, F.lit(float(f.valid[1]))), F.lit(float(f.valid[0]))))
             lost = number_missing(F.col(f.field), f.valid)
             out = out.withColumn(f"{f.field}_filled", F.when(lost, guess).otherwise(F.col(f.field))).withColumn(f"{f.field}_missing", lost)
         out = out.drop("__wl_per", "__wl_v", *[f"__wl_g{i}" for i in range(len(numerics))], *[f"__wl_u{i}" for i in range(len(numerics))])
     for s in categories:
         lost = text_missing(F.col(s.field), s.tokens)
-        guesses = _class_scores(src, s, per, key, concentration, max_classes).withColumnRenamed("guess", "__wl_guess")
-        out = out.join(guesses, key, "left")
+        out = _guess_category(src, out, s, per, "__wl_guess", ridge, buckets, max_classes)
         out = out.withColumn(f"{s.field}_filled", F.when(lost, F.col("__wl_guess")).otherwise(F.col(s.field))).withColumn(f"{s.field}_missing", lost).drop("__wl_guess")
     return out
 
 
-def missing_cells(filled: DataFrame, key: str, fields: Sequence[str], name: str = "field_name") -> DataFrame:
-    """One row ``(key, field)`` for each cell whose mask is set."""
-    marks = F.array(*[F.when(F.col(f"{f}_missing"), F.lit(f)) for f in fields])
-    return filled.select(key, F.explode(F.array_compact(marks)).alias(name))
+def filled_cells(filled: DataFrame, key: str, fields: Sequence[str], name: str = "field_name") -> DataFrame:
+    """``(key, field, value)``: one row for each cell that carried no real value, with the text of what now stands there.
+
+    A cell counts if its mask is set and filling changed it, or could not fill it (then ``value`` is null)."""
+
+    def cell(f: str) -> Column:
+        now = F.col(f"{f}_filled")
+        changed = ~F.col(f).eqNullSafe(now) | now.isNull()
+        return F.when(F.col(f"{f}_missing") & changed, F.struct(F.lit(f).alias(name), now.cast("string").alias("value")))
+
+    return filled.select(key, F.inline(F.array_compact(F.array(*[cell(f) for f in fields]))))

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.catalog import query
-from weftline.operators.impute import CategoryField, NumericField, fill_missing, missing_cells
+from weftline.operators.impute import CategoryField, NumericField, fill_missing, filled_cells
 from weftline.tables import load
 
 #: points a game that a team can average; anything else in these columns stands in for a missing value
@@ -32,7 +32,14 @@ def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p3_found", sql=P3_SQL)
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return missing_cells(_filled(spark, sf_dir), "prediction_id", ["home_ppg", "away_ppg", "stats_source"])
+    cells = filled_cells(_filled(spark, sf_dir), "prediction_id", ["home_ppg", "away_ppg", "stats_source"])
+    return cells.select("prediction_id", "field_name")
+
+
+@query("p3_values")
+def p3_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cell that was filled, with its value."""
+    return filled_cells(_filled(spark, sf_dir), "prediction_id", ["home_ppg", "away_ppg", "stats_source"])
 
 
 @query("p3_filled")
