@@ -72,9 +72,10 @@ def tune_paired_bands(product: float, recall: float, max_bands: int = 256) -> in
     raise ValueError(f"a recall of {recall} at {product} needs more than {max_bands} bands")
 
 
-def paired_band_keys(tokens: np.ndarray, offsets: np.ndarray, first: np.ndarray, second: np.ndarray, bands: int, salt: np.ndarray, seed: int = 7) -> np.ndarray:
+def paired_band_keys(tokens: np.ndarray, offsets: np.ndarray, first: np.ndarray, second: np.ndarray, bands: int, salt: np.ndarray, seed: int = 7, ordered: bool = True) -> np.ndarray:
     """Keys (records x bands) of records with two parts, each a set of ``tokens``/``offsets`` (by its number in
-    ``first`` and ``second``).  A band is one MinHash of the first part with one of the second."""
+    ``first`` and ``second``).  A band is one MinHash of the first part with one of the second; unless ``ordered``, both by
+    one hash function and in either order."""
     a, b = _family(2 * bands, seed)
     t = mix64(tokens)
     starts = offsets[:-1]
@@ -82,7 +83,11 @@ def paired_band_keys(tokens: np.ndarray, offsets: np.ndarray, first: np.ndarray,
     with np.errstate(over="ignore"):
         for k in range(bands):
             one = np.minimum.reduceat((t * a[2 * k] + b[2 * k]) >> np.uint64(16), starts)
-            two = np.minimum.reduceat((t * a[2 * k + 1] + b[2 * k + 1]) >> np.uint64(16), starts)
             key = mix64(salt ^ (np.uint64(k + 1) * _MIX))
-            out[:, k] = mix64(mix64(key ^ one[first]) ^ two[second]).view(np.int64)
+            if ordered:
+                two = np.minimum.reduceat((t * a[2 * k + 1] + b[2 * k + 1]) >> np.uint64(16), starts)
+                low, high = one[first], two[second]
+            else:
+                low, high = np.minimum(one[first], one[second]), np.maximum(one[first], one[second])
+            out[:, k] = mix64(mix64(key ^ low) ^ high).view(np.int64)
     return out
