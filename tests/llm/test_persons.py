@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from weftline.llm.lsh import band_keys, collision, paired_band_keys, tune_bands, tune_paired_bands
-from weftline.llm.persons import link_spellings, read_name, star_clusters
+from weftline.llm.persons import _part_distance, link_spellings, read_name, star_clusters
 
 
 def test_curve_is_met_by_measured_recall():
@@ -103,3 +104,23 @@ def test_given_names_alone(spark):
     assert {r["person_id"]: r["cluster"] for r in clusters.collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: 0, 0: 0}
     got = {(r["row_no"], r["elem_no"]): r["cluster"] for r in found.collect()}
     assert got == {(a, b): w for a, b, _, _, w in mentions if w is not None}
+
+
+def test_all_words_of_a_long_name_count():
+    one = read_name("Aurelius Theon son of Apollonios")
+    two = read_name("Aurelius Dionysios Apolloniou")
+    assert one and two and not set(one) & set(two)
+    assert {f for _, f in one} & {f for _, f in two} and all(" " in g for g, _ in one)
+
+
+def test_long_stems_are_compared_whole(spark):
+    stem = "ab" * 60
+    rows = spark.createDataFrame([(stem + "cd", stem + "cd"), (stem + "cd", stem + "xyz")], "a string, b string")
+    got = [r[0] for r in rows.select(_part_distance(F.col("a"), F.col("b"))).collect()]
+    assert got == [0, 3]
+
+
+def test_copies_of_rows_hang_together_and_cost_no_pairs(spark):
+    people = [(i, "a", "Θυκυβίος Ψιρωνέφιου", ["Θυκυβίος Ψιρωνεφίου"], i) for i in range(300)] + [(900, "a", "Θυκυβίος Ψιρωνέφου", [], 1)]
+    clusters, found = links(spark, people, [(1, 0, "a", "Θυκυβίος Ψιρωνέφιου", 0)])
+    assert {r["cluster"] for r in clusters.collect()} == {0} and found.first()["cluster"] == 0

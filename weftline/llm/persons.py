@@ -87,10 +87,10 @@ def read_name(text: str | None) -> list[tuple[str, str]]:
         return []
     parts = _words(text)
     turned = None
-    if len(parts[0]) >= 2:
-        a, b = parts[0][0], parts[0][1]
-        if len(parts[0]) > 2:
-            b = parts[0][-1]
+    if len(parts[0]) > 2:
+        return _read_long(parts[0])
+    if len(parts[0]) == 2:
+        a, b = parts[0]
     elif len(parts[0]) == 1 and len(parts) > 1 and len(parts[1]) >= 1:
         a, b, turned = parts[1][0], parts[0][0], False
     else:
@@ -111,6 +111,18 @@ def read_name(text: str | None) -> list[tuple[str, str]]:
     return list(dict.fromkeys((g, f) for x, y in orders for g in _given_stems(x) for f in _father_stems(y)))
 
 
+def _read_long(words: list[str]) -> list[tuple[str, str]]:
+    """Readings of a name of more than two words: all of them count.  The father stands last, or first in the genitive
+    before a nominative; the others together are the given name."""
+    words = [w for w in words if len(w.strip(".")) >= 2]
+    if len(words) < 2:
+        return []
+    cases = [read_part(w)[1] for w in words]
+    turned = cases[0] == "gen" and cases[-1] in ("nom", "acc", "dat")
+    father, given = (words[0], words[1:]) if turned else (words[-1], words[:-1])
+    return list(dict.fromkeys((" ".join(read_part(w)[0].rstrip(".") for w in given), f) for f in _father_stems(father)))
+
+
 def read_given(text: str | None) -> list[tuple[str, str]]:
     """The readings of a spelling that is a given name alone, without a father: its stems, and '=' with the folded word."""
     words = [w for p in _words(text) for w in p] if text else []
@@ -202,7 +214,7 @@ def _part_distance(a: Column, b: Column) -> Column:
     """Edit distance of two stems; an abbreviated one is compared with the other's beginning."""
     ca, cb = a.endswith("."), b.endswith(".")
     sa, sb = F.rtrim(a, F.lit(".")), F.rtrim(b, F.lit("."))
-    k = F.when(ca & cb, F.least(F.length(sa), F.length(sb))).when(ca, F.length(sa)).when(cb, F.length(sb)).otherwise(F.lit(64))
+    k = F.when(ca & cb, F.least(F.length(sa), F.length(sb))).when(ca, F.length(sa)).when(cb, F.length(sb)).otherwise(F.greatest(F.length(sa), F.length(sb)))
     return F.levenshtein(F.substring(sa, F.lit(1), k), F.substring(sb, F.lit(1), k))
 
 
@@ -318,18 +330,24 @@ def link_spellings(
     m_nodes = cut_lineage(m_occ.select("node", "blk", "given", "father", "by").dropDuplicates(["node"]))
     p_bands = band_rows(p_nodes, bands)
 
+    # rows with the same spellings are copies: the first stands for all of them
+    alike = p_occ.groupBy("pid").agg(F.xxhash64(F.array_sort(F.collect_set("node")), F.count("*")).alias("sig"), F.min("blk").alias("blk"))
+    copies = cut_lineage(alike.join(alike.groupBy("blk", "sig").agg(F.min("pid").alias("first")), ["blk", "sig"]).select("pid", "first"))
+
     # rows of the person list: verified links between their spellings, then stars
     twin = p_bands.select("key", F.col("node").alias("rn")).join(p_bands.withColumnRenamed("node", "ln"), "key").filter("ln < rn").select("ln", "rn").distinct()
     near = verified_pairs(p_nodes, p_nodes, twin)
     own = p_occ.select("pid", "node")
-    across = near.join(own.select(F.col("node").alias("ln"), F.col("pid").alias("x")), "ln").join(own.select(F.col("node").alias("rn"), F.col("pid").alias("y")), "rn").select("x", "y", "sim")
-    first = own.groupBy("node").agg(F.min("pid").alias("x"), F.count("*").alias("n")).filter("n > 1")  # rows that share a spelling hang on the first of them
-    shared = own.join(first, "node").select("x", F.col("pid").alias("y"), F.lit(1.0).alias("sim"))
+    ones = own.join(copies.filter("pid = first").select("pid"), "pid", "left_semi")
+    across = near.join(ones.select(F.col("node").alias("ln"), F.col("pid").alias("x")), "ln").join(ones.select(F.col("node").alias("rn"), F.col("pid").alias("y")), "rn").select("x", "y", "sim")
+    first = ones.groupBy("node").agg(F.min("pid").alias("x"), F.count("*").alias("n")).filter("n > 1")  # rows that share a spelling hang on the first of them
+    shared = ones.join(first, "node").select("x", F.col("pid").alias("y"), F.lit(1.0).alias("sim"))
     edges = across.unionAll(shared).filter("x <> y").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("sim").alias("sim"))
-    rows = persons.select(F.col(person).alias("id"), F.coalesce(F.col(support), F.lit(0)).alias("rank"))
-    stars = star_clusters(rows, cut_lineage(edges))
-    heads = stars.groupBy("center").agg(F.min("id").alias("cluster"))
-    clusters = cut_lineage(stars.join(heads, "center").select(F.col("id").alias("pid"), "cluster"))
+    rank = persons.select(F.col(person).alias("pid"), F.coalesce(F.col(support), F.lit(0)).alias("rank"))
+    head = rank.join(copies, "pid", "left").withColumn("id", F.coalesce("first", "pid"))
+    stars = star_clusters(head.groupBy("id").agg(F.max("rank").alias("rank")), cut_lineage(edges))
+    least = stars.groupBy("center").agg(F.min("id").alias("cluster"))
+    clusters = cut_lineage(head.select("pid", "id").join(stars.join(least, "center").select("id", "cluster"), "id").select("pid", "cluster"))
 
     # rows with given names alone join the only person who bears the name; the smallest id of a person may then be theirs
     lone = p_all.groupBy("pid").agg(F.max("father").alias("f")).filter("f = ''").select("pid")
@@ -339,8 +357,11 @@ def link_spellings(
     clusters = cut_lineage(joined.join(least, "c").select("pid", "cluster"))
 
     # occurrences: the nearest verified spelling of a person
-    cand = p_bands.withColumnRenamed("node", "rn").join(band_rows(m_nodes, bands).withColumnRenamed("node", "ln"), "key").select("ln", "rn").distinct()
-    hits = verified_pairs(m_nodes, p_nodes, cand)
+    # one that equals a person's is nearer than any other can be; only the rest is banded
+    exact = m_nodes.join(p_nodes.select("node"), "node", "left_semi").select(F.col("node").alias("ln"), F.col("node").alias("rn"), F.lit(0).alias("far"), F.lit(1.0).alias("sim"))
+    rest = cut_lineage(m_nodes.join(p_nodes.select("node"), "node", "left_anti"))
+    cand = p_bands.withColumnRenamed("node", "rn").join(band_rows(rest, bands).withColumnRenamed("node", "ln"), "key").select("ln", "rn").distinct()
+    hits = verified_pairs(rest, p_nodes, cand).unionByName(exact)
     who = own.join(clusters, "pid").groupBy("node", "cluster").agg(F.count("*").alias("n"))
     best = (
         hits.join(who.withColumnRenamed("node", "rn"), "rn")
