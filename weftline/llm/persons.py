@@ -190,7 +190,8 @@ def spelling_nodes(df: DataFrame, block: str, spelling: str, keys: Sequence[str]
 
 
 def band_rows(nodes: DataFrame, bands: int) -> DataFrame:
-    """``(key, node)`` for every band of every distinct node; the key mixes the block in."""
+    """``(key, node, lens)`` for every band of every distinct node; the key mixes the block in, ``lens`` holds the lengths of
+    both parts (``given * 65536 + father``, 0 for an abbreviated part)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -204,10 +205,27 @@ def band_rows(nodes: DataFrame, bands: int) -> DataFrame:
             np.cumsum([len(s) for s in sets], out=off[1:])
             flat = np.fromiter((x for s in sets for x in s), dtype=np.uint64, count=int(off[-1]))
             salt = b.column(1).to_numpy().view(np.uint64)
-            keys = paired_band_keys(flat, off, at[: b.num_rows], at[b.num_rows :], bands, salt)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), bands))], ["key", "node"])
+            n = b.num_rows
+            size = np.fromiter((0 if w.endswith(".") else min(len(w), 32_767) for w in slot), dtype=np.int64, count=len(slot))[at]
+            keys = paired_band_keys(flat, off, at[:n], at[n:], bands, salt)
+            lens = (size[:n] * 65_536 + size[n:]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), bands)), pa.array(np.repeat(lens, bands))], ["key", "node", "lens"])
 
-    return nodes.select("node", F.xxhash64("blk").alias("s"), "given", "father").mapInArrow(run, "key bigint, node bigint")
+    return nodes.select("node", F.xxhash64("blk").alias("s"), "given", "father").mapInArrow(run, "key bigint, node bigint, lens int")
+
+
+def banded_pairs(left: DataFrame, right: DataFrame, most: int = 2) -> DataFrame:
+    """Distinct ``(ln, rn)`` of nodes that share a band and whose parts differ in length by at most ``most`` letters (what
+    more edits than that would be needed for can't be verified); abbreviations may have any length."""
+    a = left.select("key", F.col("node").alias("ln"), F.col("lens").alias("la"))
+    b = right.select("key", F.col("node").alias("rn"), F.col("lens").alias("lb"))
+
+    def near(x: Column, y: Column) -> Column:
+        return (x == 0) | (y == 0) | (F.abs(x - y) <= most)
+
+    high, low = (lambda c: F.shiftright(c, 16)), (lambda c: F.col(c).bitwiseAND(65_535))
+    pairs = a.join(b, "key").filter(near(high("la"), high("lb")) & near(low("la"), low("lb")))
+    return pairs.select("ln", "rn").distinct()
 
 
 def _part_distance(a: Column, b: Column) -> Column:
@@ -325,9 +343,10 @@ def link_spellings(
     p_all = cut_lineage(spelling_nodes(theirs, "blk_", "sp", ["pid"], by_names).dropDuplicates(["pid", "node"]))
     p_occ = p_all.filter("father <> ''")
     p_nodes = cut_lineage(p_occ.groupBy("node").agg(F.first("blk").alias("blk"), F.first("given").alias("given"), F.first("father").alias("father"), F.min("by").alias("by")))
-    m_all = spelling_nodes(mentions, block, mention, list(mention_keys))
+    m_all = cut_lineage(spelling_nodes(mentions, block, mention, list(mention_keys)).drop("by"))
     m_occ = m_all.filter("father <> ''")
-    m_nodes = cut_lineage(m_occ.select("node", "blk", "given", "father", "by").dropDuplicates(["node"]))
+    equal = p_nodes.select("node", F.lit(True).alias("equal"))
+    m_nodes = cut_lineage(m_occ.select("node", "blk", "given", "father", F.lit(False).alias("by")).dropDuplicates(["node"]).join(equal, "node", "left"))
     p_bands = band_rows(p_nodes, bands)
 
     # rows with the same spellings are copies: the first stands for all of them
@@ -335,8 +354,7 @@ def link_spellings(
     copies = cut_lineage(alike.join(alike.groupBy("blk", "sig").agg(F.min("pid").alias("first")), ["blk", "sig"]).select("pid", "first"))
 
     # rows of the person list: verified links between their spellings, then stars
-    twin = p_bands.select("key", F.col("node").alias("rn")).join(p_bands.withColumnRenamed("node", "ln"), "key").filter("ln < rn").select("ln", "rn").distinct()
-    near = verified_pairs(p_nodes, p_nodes, twin)
+    near = verified_pairs(p_nodes, p_nodes, banded_pairs(p_bands, p_bands).filter("ln < rn"))
     own = p_occ.select("pid", "node")
     ones = own.join(copies.filter("pid = first").select("pid"), "pid", "left_semi")
     across = near.join(ones.select(F.col("node").alias("ln"), F.col("pid").alias("x")), "ln").join(ones.select(F.col("node").alias("rn"), F.col("pid").alias("y")), "rn").select("x", "y", "sim")
@@ -358,10 +376,9 @@ def link_spellings(
 
     # occurrences: the nearest verified spelling of a person
     # one that equals a person's is nearer than any other can be; only the rest is banded
-    exact = m_nodes.join(p_nodes.select("node"), "node", "left_semi").select(F.col("node").alias("ln"), F.col("node").alias("rn"), F.lit(0).alias("far"), F.lit(1.0).alias("sim"))
-    rest = cut_lineage(m_nodes.join(p_nodes.select("node"), "node", "left_anti"))
-    cand = p_bands.withColumnRenamed("node", "rn").join(band_rows(rest, bands).withColumnRenamed("node", "ln"), "key").select("ln", "rn").distinct()
-    hits = verified_pairs(rest, p_nodes, cand).unionByName(exact)
+    exact = m_nodes.filter("equal").select(F.col("node").alias("ln"), F.col("node").alias("rn"), F.lit(0).alias("far"), F.lit(1.0).alias("sim"))
+    rest = m_nodes.filter("equal is null")
+    hits = verified_pairs(rest, p_nodes, banded_pairs(band_rows(rest, bands), p_bands)).unionByName(exact)
     who = own.join(clusters, "pid").groupBy("node", "cluster").agg(F.count("*").alias("n"))
     best = (
         hits.join(who.withColumnRenamed("node", "rn"), "rn")
