@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import strip_markup
@@ -72,3 +72,11 @@ def load_model(path: str) -> PipelineModel:
 def display_text(df: DataFrame, formats: dict[str, str]) -> DataFrame:
     """Every cell as text for a table on a slide: printf formats by column, nulls as empty texts."""
     return df.select(*[F.coalesce(F.format_string(formats[c], F.col(c)) if c in formats else F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns])
+
+
+def report_lines(df: DataFrame, order: str, formats: dict[str, str]) -> DataFrame:
+    """``(pos, line)`` of a table for readers, in pipes: printf formats by column, nulls as blanks.  For reports, not for data."""
+    cells = [F.coalesce(F.when(F.col(c).isNotNull(), F.format_string(f, F.col(c))), F.lit("")) for c, f in formats.items()]
+    body = df.select((F.row_number().over(Window.orderBy(order)) + 1).alias("pos"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+    head = df.sparkSession.createDataFrame([(0, "| " + " | ".join(formats) + " |"), (1, "|" + "-|" * len(formats))], "pos int, line string")
+    return head.unionByName(body)

@@ -67,6 +67,21 @@ def jsonl(spark: SparkSession, path: str, schema: str, order: str) -> DataFrame:
     return parsed.filter("v is not null").select("d.*").orderBy(order)
 
 
+def daily_values(spark: SparkSession, path: str) -> DataFrame:
+    """A gauge's document ``{"value": {"timeSeries": [{"values": [{"value": [{"dateTime", "value"}]}]}]}}``: ``(day, value)`` of
+    its first series; readings that are no numbers are left out."""
+    shape = "struct<value: struct<timeSeries: array<struct<values: array<struct<value: array<struct<dateTime: string, value: string>>>>>>>>"
+    first = lambda c: F.get(c, F.lit(0))
+    doc = F.from_json("value", shape)["value"]["timeSeries"]
+    rows = spark.read.text(path, wholetext=True).select(F.inline(first(first(doc)["values"])["value"]))
+    return rows.select(F.substring("dateTime", 1, 10).try_cast("date").alias("day"), F.col("value").try_cast("double").alias("value")).filter("day is not null and value is not null")
+
+
+def pending(ids: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """Ids of a list that are not among those already fetched, each once."""
+    return ids.select(key).distinct().join(done.select(key), key, "left_anti")
+
+
 def _at(path: str) -> str:
     """An XPath of plain names, blind to namespaces."""
     steps = []

@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
@@ -121,6 +123,20 @@ class Retry:
         raise AssertionError
 
 
+def read_each(spark: SparkSession, sources: dict[str, Callable[[], DataFrame]], schema: str) -> DataFrame:
+    """``(source, columns of schema, error)``: rows of every source; one that can't be opened gives a single row with its error."""
+    empty = spark.createDataFrame([], schema)
+    out = None
+    for name, read in sources.items():
+        try:
+            one = read().select(*empty.columns).withColumn("error", F.lit(None).cast("string"))
+        except Exception as e:  # whatever keeps one source from answering must not keep the others
+            one = spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in empty.schema.fields], F.lit(type(e).__name__).alias("error"))
+        one = one.select(F.lit(name).alias("source"), *empty.columns, "error")
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else empty.select(F.lit("").alias("source"), *empty.columns, F.lit("").alias("error"))
+
+
 def register(spark) -> None:
     """Make the sources known to a session."""
     spark.dataSource.register(ZipCsv)
