@@ -23,7 +23,7 @@ def _fold_pairs() -> tuple[str, str]:
     return "".join(src), "".join(dst)
 
 
-_SRC, _DST = _fold_pairs()
+FOLD_FROM, FOLD_TO = _fold_pairs()
 
 
 def squeeze(c: Column) -> Column:
@@ -33,7 +33,7 @@ def squeeze(c: Column) -> Column:
 
 def fold_accents(c: Column) -> Column:
     """Letters without accents (precomposed letters of the Latin and Greek blocks, and free combining marks)."""
-    return F.translate(F.regexp_replace(c, r"\p{Mn}", ""), _SRC, _DST)
+    return F.translate(F.regexp_replace(c, r"\p{Mn}", ""), FOLD_FROM, FOLD_TO)
 
 
 def undo_entities(c: Column) -> Column:
@@ -154,17 +154,21 @@ def name_key(c: Column) -> Column:
     return F.replace(F.lower(F.split_part(F.trim(c), F.lit(" "), F.lit(1))), F.lit("."), F.lit(""))
 
 
-# Case endings of Greek names (accents folded, lower case) and the nominative they go back to.
-NOMINATIVES = (
-    ("ωνος", "ων"), ("ωνι", "ων"), ("ωνα", "ων"), ("ιου", "ιος"), ("ιωι", "ιος"), ("ιον", "ιος"),
-    ("αιου", "αιος"), ("ου", "ος"), ("ωι", "ος"), ("ον", "ος"), ("ω", "ος"),
-)
+# The nominatives of Greek declensions (accents folded, lower case) and the endings of their other cases, the
+# longer ones first.
+DECLENSIONS = {
+    "ων": ("ωνος", "ωνι", "ωνα"),
+    "αιος": ("αιου", "αιωι", "αιον"),
+    "ιος": ("ιου", "ιωι"),
+    "ευς": ("εως",),
+    "ος": ("ου",),
+}
 
 
 def nominative(c: Column, least: int = 4) -> Column:
     """A folded Greek name in the nominative: the first ending that fits and leaves ``least`` letters decides."""
     out = c
-    for old, new in reversed(NOMINATIVES):
+    for new, old in reversed([(n, o) for n, olds in DECLENSIONS.items() for o in olds]):
         changed = F.concat(F.substring(c, F.lit(1), F.length(c) - F.lit(len(old))), F.lit(new))
         out = F.when(c.endswith(old) & (F.length(changed) >= least), changed).otherwise(out)
     return out

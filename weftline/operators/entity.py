@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,25 @@ from weftline.functions.times import overlap
 from weftline.operators.relational import jaccard
 
 
+#: most choices that a best match is sought among in place
+MAX_CHOICES = 20_000
+
+
+def best_choice(df: DataFrame, name: str, choices: Sequence[str]) -> DataFrame:
+    """``df`` with ``best``, the most similar other entry of a fixed list of choices, and its ``score``; null where there is none."""
+    if len(choices) > MAX_CHOICES:
+        raise ValueError(f"more than {MAX_CHOICES} choices")
+    spark = df.sparkSession
+    one = spark.createDataFrame([(list(choices),)], "_choices array<string>")  # bounded above
+    q = F.lower(F.col(name))
+    rated = F.transform(
+        F.filter("_choices", lambda c: c != F.col(name)),
+        lambda c: F.struct((-F.round(1 - F.levenshtein(q, F.lower(c)) / F.greatest(F.length(q), F.length(c)), 9)).alias("s"), c.alias("c")),
+    )
+    best = F.array_min(rated)
+    return df.join(F.broadcast(one)).withColumn("_best", best).withColumn("best", F.col("_best.c")).withColumn("score", -F.col("_best.s")).drop("_choices", "_best")
+
+
 def stems(name: Column) -> Column:
     """The parts of a name of more than one letter, folded, in the nominative."""
     parts = F.filter(F.split(F.lower(fold_accents(name)), r"[^\p{L}]+"), lambda x: F.length(x) > 1)
@@ -38,29 +58,33 @@ def candidate_pairs(names: DataFrame, key: str, name: str, block: str | None = N
 def greedy_clusters(names: DataFrame, block: str, key: str, name_stems: str, count: str) -> DataFrame:
     """Greedy clusters per block: rows in falling count join the first cluster whose leader shares at least half of the stems.
 
-    Order decides, so a block is resolved as a whole in one task; use it with blocks that are small by nature, and
-    ``components`` over :func:`same_person` pairs where they are not.
+    Order decides, so a block is resolved as a whole in one task; an index from stems to leaders keeps a row from being
+    compared with leaders it shares nothing with.  Rows without a block stand alone.
     """
     kt = names.schema[key].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([count, key], ascending=[False, True], kind="stable")
         leaders: list[tuple[object, frozenset]] = []
+        index: dict[str, list[int]] = {}
         out = []
         for k, s in zip(pdf[key], pdf[name_stems]):
             own = frozenset(s)
-            for lk, ls in leaders:
-                both = len(own | ls)
-                if both and len(own & ls) / both >= 0.5:
-                    out.append(lk)
-                    break
-            else:
-                leaders.append((k, own))
-                out.append(k)
+            hits = Counter(i for w in own for i in index.get(w, ()))
+            fit = [i for i, n in hits.items() if 2 * n >= len(own | leaders[i][1])]
+            if fit:
+                out.append(leaders[min(fit)][0])
+                continue
+            for w in own:
+                index.setdefault(w, []).append(len(leaders))
+            leaders.append((k, own))
+            out.append(k)
         return pd.DataFrame({block: pdf[block].to_numpy(), key: pdf[key].to_numpy(), "leader": out})
 
     bt = names.schema[block].dataType.simpleString()
-    return names.select(block, key, name_stems, count).groupBy(block).applyInPandas(run, f"{block} {bt}, {key} {kt}, leader {kt}")
+    alone = names.filter(F.col(block).isNull()).select(block, key, F.col(key).alias("leader"))
+    inside = names.filter(F.col(block).isNotNull()).select(block, key, name_stems, count)
+    return inside.groupBy(block).applyInPandas(run, f"{block} {bt}, {key} {kt}, leader {kt}").unionAll(alone)
 
 
 def merge_records(df: DataFrame, by: str, name: str, count: str, lo: str, hi: str) -> DataFrame:

@@ -82,12 +82,13 @@ def richness(cnt: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def positions(df: DataFrame, tokens: Column, least: int) -> DataFrame:
-    """Per token how often it stands first, inside and last in its row, shares, and the entropy of the three."""
-    t = df.select(F.posexplode(tokens).alias("pos", "token"), F.size(tokens).alias("len")).filter(F.col("len") > 1)
+def positions(df: DataFrame, tokens: Column, least: int, weight: str | None = None) -> DataFrame:
+    """Per token how often it stands first, inside and last in its row, shares, and the entropy of the three.  A row counts
+    ``weight`` times, so equal rows may be counted beforehand."""
+    t = df.select(F.posexplode(tokens).alias("pos", "token"), F.size(tokens).alias("len"), (F.col(weight) if weight else F.lit(1)).alias("w")).filter(F.col("len") > 1)
     first, last = F.col("pos") == 0, F.col("pos") == F.col("len") - 1
-    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    g = t.groupBy("token").agg(F.count("*").alias("n"), one(first).alias("n_first"), one(last).alias("n_last")).filter(F.col("n") >= least)
+    one = lambda c: F.sum(F.when(c, F.col("w")).otherwise(0))
+    g = t.groupBy("token").agg(F.sum("w").alias("n"), one(first).alias("n_first"), one(last).alias("n_last")).filter(F.col("n") >= least)
     g = g.withColumn("n_mid", F.col("n") - F.col("n_first") - F.col("n_last"))
     share = {c: F.col(f"n_{c}") / F.col("n") for c in ("first", "mid", "last")}
     h = sum((F.when(s > 0, -s * F.log2(s)).otherwise(F.lit(0.0)) for s in share.values()), F.lit(0.0))
@@ -116,7 +117,7 @@ def _nearest(df: DataFrame, dims: Sequence[str], centers: list[list[float]]) ->
     return df.withColumn("cluster", out)
 
 
-def chains(links: DataFrame, max_length: int = 12) -> DataFrame:
+def chains(links: DataFrame) -> DataFrame:
     """Longest walks along single successors ``links(a, b)`` without coming back: ``start, path``.
 
     Starts are tokens that are nobody's successor, or any token of a pure ring; each round lengthens all walks by one.
@@ -125,15 +126,14 @@ def chains(links: DataFrame, max_length: int = 12) -> DataFrame:
     heads = nxt.join(nxt.select(F.col("b").alias("a")), "a", "left_anti")
     live = heads.select(F.col("a").alias("start"), F.array("a", "b").alias("path"), F.col("b").alias("tip"))
     done = None
-    for _ in range(max_length - 2):
+    while True:
         step = live.join(nxt.withColumnRenamed("a", "tip"), "tip", "left").withColumn("_go", F.col("b").isNotNull() & ~F.array_contains("path", F.col("b")))
         step = cut_lineage(step)
         ended = step.filter("not _go").select("start", "path")
         done = ended if done is None else done.unionAll(ended)
         live = step.filter("_go").select("start", F.array_append("path", F.col("b")).alias("path"), F.col("b").alias("tip"))
-        if live.isEmpty():
+        if live.isEmpty():  # a walk never comes back, so all of them end
             return done
-    return live.select("start", "path") if done is None else done.unionAll(live.select("start", "path"))
 
 
 def calibration(df: DataFrame, p: str, y: str, buckets: int = 10) -> DataFrame:
@@ -150,8 +150,13 @@ def rank_auc(df: DataFrame, score: str, y: str) -> DataFrame:
 
 
 def upper_median(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """The element at position n // 2 of the sorted values (0-based)."""
-    return df.groupBy(*by).agg(F.element_at(F.sort_array(F.collect_list(value)), (F.floor(F.count(value) / 2) + 1).cast("int")).alias("upper_median"))
+    """The element at position n // 2 of the sorted values (0-based), from counts of distinct values that are combined before
+    the shuffle: a hot group costs no more than its distinct values."""
+    c = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy(*by)
+    upto = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    p = c.select(*by, value, F.sum("_n").over(upto).alias("_upto"), F.sum("_n").over(whole).alias("_all"))
+    return p.groupBy(*by).agg(F.min(F.when(F.col("_upto") > F.floor(F.col("_all") / 2), F.col(value))).alias("upper_median"))
 
 
 def semi_partial(r_xy: Column, r_xz: Column, r_yz: Column) -> Column:

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.catalog import query
+from weftline.functions import times
 from weftline.functions.text import fold_accents
 from weftline.operators import entity as E
 from weftline.operators import graph as G
@@ -38,12 +39,49 @@ _EDGES = _NAMES + """, edges AS (
   UNION ALL SELECT DISTINCT 'd:' || row_no, 'p:' || place, 'located_in', row_no FROM nm WHERE place <> '')"""
 
 
-@query("cooccurrence_edges", "GRA01", "GRA02", "AGG29", "JON20", "GRA09", sql=f"""
-WITH {_EDGES} SELECT src, dst, count(*) AS weight, array_to_string(list_sort(list_distinct(list(row_no))), ',') AS documents, array_to_string(list_sort(list_distinct(list(relation))), ',') AS relation_types
+@query("cooccurrence_edges", "GRA01", "JON20", sql=f"""
+WITH {_EDGES} SELECT src, dst, count(*) AS weight, count(DISTINCT row_no) AS n_documents, min(row_no) AS first_document, max(row_no) AS last_document, array_to_string(list_sort(list_distinct(list(relation))), ',') AS relation_types
 FROM edges GROUP BY ALL""")
 def cooccurrence_edges(spark: SparkSession, d: str) -> DataFrame:
     m = G.merge_edges(_edges(spark, d).withColumnRenamed("row_no", "document"))
-    return m.select("src", "dst", "weight", F.array_join(F.transform("documents", lambda x: x.cast("string")), ",").alias("documents"), F.array_join("relation_types", ",").alias("relation_types"))
+    return m.withColumn("relation_types", F.array_join("relation_types", ","))
+
+
+@query("edge_documents", "AGG29", sql=f"WITH {_EDGES} SELECT DISTINCT src, dst, row_no AS document FROM edges")
+def edge_documents(spark: SparkSession, d: str) -> DataFrame:
+    return G.edge_documents(_edges(spark, d).withColumnRenamed("row_no", "document"))
+
+
+@query("graph_vertices", "GRA02", sql=f"""
+WITH {_EDGES}, b AS (SELECT src AS id, row_no FROM edges UNION ALL SELECT dst, row_no FROM edges) SELECT id, left(id, 1) AS kind, min(row_no) AS first_document FROM b GROUP BY 1""")
+def graph_vertices(spark: SparkSession, d: str) -> DataFrame:
+    return G.vertices(_edges(spark, d).withColumnRenamed("row_no", "document"))
+
+
+@query("graph_counts", "GRA09", sql=f"""
+WITH {_EDGES}, b AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges)
+SELECT 'vertices ' || left(id, 1) AS what, count(*) AS n FROM b GROUP BY 1 UNION ALL SELECT 'edges', count(*) FROM (SELECT DISTINCT src, dst FROM edges)""")
+def graph_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Vertices of each kind, and edges."""
+    e = _edges(spark, d).withColumnRenamed("row_no", "document")
+    v = G.vertices(e).groupBy(F.concat(F.lit("vertices "), "kind").alias("what")).agg(F.count("*").alias("n"))
+    return v.unionAll(e.select("src", "dst").distinct().agg(F.lit("edges").alias("what"), F.count("*").alias("n")))
+
+
+@query("period_graph", "AGG23", sql="""
+WITH k AS (SELECT row_no, floor((coalesce(date_range.year_from, date_range.year_to) + coalesce(date_range.year_to, date_range.year_from)) / 2) AS y,
+  list_distinct(list_filter(person_names, lambda x: x IS NOT NULL AND trim(x) <> '')) AS l FROM papyri_documents),
+p AS (SELECT *, CASE WHEN y IS NULL THEN 'Unknown' WHEN y <= -30 THEN 'Ptolemaic' WHEN y <= 284 THEN 'Early Roman' WHEN y <= 641 THEN 'Late Roman' ELSE 'Byzantine/Islamic' END AS period FROM k),
+n AS (SELECT period, count(DISTINCT x) AS n_persons FROM (SELECT period, unnest(l) AS x FROM p) GROUP BY 1)
+SELECT p.period, count(*) AS n_documents, coalesce(any_value(n_persons), 0) AS n_persons, coalesce(sum(len(l) * (len(l) - 1) // 2), 0)::BIGINT AS n_edges FROM p LEFT JOIN n USING (period) GROUP BY 1""")
+def period_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, distinct persons and pairs of persons of each period."""
+    y = times.midpoint(F.col("date_range.year_from"), F.col("date_range.year_to"))
+    names = F.array_distinct(F.filter("person_names", lambda x: x.isNotNull() & (F.trim(x) != "")))
+    p = t(spark, d, "papyri_documents").select(F.coalesce(times.period(y), F.lit("Unknown")).alias("period"), names.alias("l")).withColumn("k", F.coalesce(F.size("l"), F.lit(0)))
+    docs = p.groupBy("period").agg(F.count("*").alias("n_documents"), F.sum(F.when(F.col("k") > 1, F.floor(F.col("k") * (F.col("k") - 1) / 2)).otherwise(0)).alias("n_edges"))
+    persons = p.select("period", F.explode("l").alias("x")).distinct().groupBy("period").agg(F.count("*").alias("n_persons"))
+    return docs.join(persons, "period", "left").select("period", "n_documents", F.coalesce("n_persons", F.lit(0)).alias("n_persons"), "n_edges")
 
 
 @query("degree", "GRA03", sql=f"""
@@ -59,7 +97,7 @@ def strongest_edges(spark: SparkSession, d: str) -> DataFrame:
     return _edges(spark, d).groupBy("src", "dst").agg(F.count("*").alias("weight")).orderBy(F.desc("weight"), "src", "dst").limit(20)
 
 
-@query("neighbours_by_kind", "GRA07", "AGG23", sql=f"""
+@query("neighbours_by_kind", "GRA07", sql=f"""
 WITH {_EDGES}, b AS (SELECT src AS id, dst AS o FROM edges UNION ALL SELECT dst, src FROM edges) SELECT id, count(DISTINCT o) AS n FROM b WHERE starts_with(o, 'n:') GROUP BY 1""")
 def neighbours_by_kind(spark: SparkSession, d: str) -> DataFrame:
     e = _edges(spark, d)

@@ -6,16 +6,19 @@ from pyspark.sql import functions as F
 from weftline.catalog import query
 from weftline.functions import text as X
 from weftline.functions import times
+from weftline.operators import entity as E
 from weftline.operators import sequences as Q
 from weftline.operators import stats as I
 from weftline.plans._util import r, rounded, t
+from weftline.session import cut_lineage
 
 
 def _tokens():
-    return F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z]+)"), F.lit(1))
+    """Words of any script with their marks, in small letters, both sigmas alike."""
+    return F.regexp_extract_all(F.replace(F.lower("text"), F.lit("ς"), F.lit("σ")), F.lit(r"(\p{L}[\p{L}\p{M}]*)"), F.lit(1))
 
 
-_TOK = "tok AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[a-z]+') AS l FROM documents WHERE text IS NOT NULL)"
+_TOK = r"tok AS (SELECT doc_id, lang, regexp_extract_all(replace(lower(text), 'ς', 'σ'), '\p{L}[\p{L}\p{M}]*') AS l FROM documents WHERE text IS NOT NULL)"
 _ROWS = _TOK + ", rows_ AS (SELECT doc_id, lang, unnest(l) AS token, generate_subscripts(l, 1) AS pos FROM tok)"
 _PAIRS = _TOK + ", pairs AS (SELECT doc_id, lang, l[i] AS a, l[i + 1] AS b FROM (SELECT doc_id, lang, l, unnest(range(1, len(l))) AS i FROM tok WHERE len(l) > 1))"
 
@@ -40,11 +43,11 @@ def token_entropy(spark: SparkSession, d: str) -> DataFrame:
     return rounded(I.entropy(I.counts(_words(spark, d), ["lang"], "token"), ["lang"]), 5)
 
 
-@query("char_entropy", "INF01", sql="""
-WITH c AS (SELECT ch, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]')) AS ch FROM documents) GROUP BY 1)
+@query("char_entropy", "INF01", sql=r"""
+WITH c AS (SELECT ch, count(*) AS n FROM (SELECT unnest(regexp_extract_all(replace(lower(text), 'ς', 'σ'), '\p{L}')) AS ch FROM documents) GROUP BY 1)
 SELECT sum(n)::BIGINT AS total, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy FROM c""")
 def char_entropy(spark: SparkSession, d: str) -> DataFrame:
-    ch = t(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z])"), F.lit(1))).alias("ch"))
+    ch = t(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.replace(F.lower("text"), F.lit("ς"), F.lit("σ")), F.lit(r"(\p{L})"), F.lit(1))).alias("ch"))
     return rounded(I.entropy(I.counts(ch, [], "ch"), []))
 
 
@@ -55,7 +58,7 @@ def cond_entropy(spark: SparkSession, d: str) -> DataFrame:
     return rounded(I.conditional_entropy(_pairs(spark, d), ["lang"], "a", "b"), 5)
 
 
-@query("cond_entropy_order2", "INF03", "WIN15", sql=f"""
+@query("cond_entropy_order2", "INF03", sql=f"""
 WITH {_TOK}, g AS (SELECT lang, l[i] || ' ' || l[i + 1] AS a, l[i + 2] AS b FROM (SELECT lang, l, unnest(range(1, len(l) - 1)) AS i FROM tok WHERE len(l) > 2)),
 j AS (SELECT lang, a, b, count(*) AS n FROM g GROUP BY ALL), m AS (SELECT lang, a, sum(n) AS m, sum(n * log2(n)) AS s FROM j GROUP BY ALL)
 SELECT lang, round(sum(m * log2(m) - s) / sum(m), 5) AS cond_entropy FROM m GROUP BY 1""")
@@ -122,12 +125,13 @@ def freq_quintiles(spark: SparkSession, d: str) -> DataFrame:
     return rounded(k.groupBy("slice").agg(F.count("*").alias("types"), F.avg("n").alias("mean_n")))
 
 
-_POS = "w AS (SELECT regexp_extract_all(x, '[a-z]') AS l FROM (SELECT unnest(l) AS x FROM tok) WHERE length(x) > 1)"
+_POS = "w AS (SELECT string_split(x, '') AS l FROM (SELECT unnest(l) AS x FROM tok) WHERE length(x) > 1)"
 
 
 def _letters(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct words as letters ``l``, each with its number ``n``."""
     w = _words(spark, d).filter(F.length("token") > 1).groupBy("token").agg(F.count("*").alias("n"))
-    return w.select(F.explode(F.array_repeat("token", F.col("n").cast("int"))).alias("token")).select(F.split("token", "").alias("l"))
+    return w.select(F.split("token", "").alias("l"), "n")
 
 
 @query("positional_roles", "AGG34", "INF10", sql=f"""
@@ -137,13 +141,13 @@ SELECT token, n, round(a, 6) AS share_first, round(b, 6) AS share_mid, round(c,
   round((CASE WHEN a > 0 THEN -a * log2(a) ELSE 0 END) + (CASE WHEN b > 0 THEN -b * log2(b) ELSE 0 END) + (CASE WHEN c > 0 THEN -c * log2(c) ELSE 0 END), 6) AS entropy,
   CASE WHEN a >= 0.6 THEN 'initial' WHEN c >= 0.6 THEN 'final' WHEN b >= 0.6 THEN 'medial' ELSE 'free' END AS role FROM g""")
 def positional_roles(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(I.positions(_letters(spark, d), F.col("l"), 5))
+    return rounded(I.positions(_letters(spark, d), F.col("l"), 5, "n"))
 
 
 @query("kmeans_positions", "INF15")
 def kmeans_positions(spark: SparkSession, d: str) -> DataFrame:
     """Letters clustered by where they stand in words, from fixed centres."""
-    p = I.positions(_letters(spark, d), F.col("l"), 5)
+    p = I.positions(_letters(spark, d), F.col("l"), 5, "n")
     return I.kmeans(p, "token", ["share_first", "share_mid", "share_last"], [[0.8, 0.1, 0.1], [0.1, 0.8, 0.1], [0.1, 0.1, 0.8]])
 
 
@@ -151,11 +155,11 @@ def kmeans_positions(spark: SparkSession, d: str) -> DataFrame:
 WITH RECURSIVE {_PAIRS}, j AS (SELECT a, b, count(*) AS n FROM pairs GROUP BY ALL),
 l AS (SELECT a, arg_min(b, (-n, b)) AS b FROM j GROUP BY 1 HAVING max(n) / sum(n) >= 0.6 AND sum(n) >= 3),
 c(start, path, tip) AS (SELECT a, [a, b], b FROM l WHERE a NOT IN (SELECT b FROM l) UNION ALL
-  SELECT start, list_append(path, l.b), l.b FROM c JOIN l ON l.a = c.tip WHERE NOT list_contains(path, l.b) AND len(path) < 12)
+  SELECT start, list_append(path, l.b), l.b FROM c JOIN l ON l.a = c.tip WHERE NOT list_contains(path, l.b))
 SELECT start, arg_max(array_to_string(path, ' '), len(path)) AS path FROM c GROUP BY 1""")
 def dominant_chains(spark: SparkSession, d: str) -> DataFrame:
     p = I.successors(_pairs(spark, d), "a", "b").filter("share >= 0.6 and total_out >= 3")
-    c = I.chains(p.select("a", F.col("dominant").alias("b")), 12)
+    c = I.chains(p.select("a", F.col("dominant").alias("b")))
     return c.select("start", F.array_join("path", " ").alias("path"))
 
 
@@ -167,23 +171,48 @@ def word_lengths(spark: SparkSession, d: str) -> DataFrame:
     return c.join(F.broadcast(m)).select("len", "n", (F.col("len") == F.col("m")).alias("modal"))
 
 
-@query("convergence_orders", "INF18", "WIN25", "SIM04")
+@query("convergence_orders", "INF18", "SIM04")
 def convergence_orders(spark: SparkSession, d: str) -> DataFrame:
-    """Conditional entropies of orders 1 to 3 of real tokens and of text generated by an order-1 model, and their gap."""
+    """Conditional entropies of orders 1 to 5 of the real texts and of text made by a model of the same order, and their gap."""
     from weftline.operators.simulate import markov_text
 
-    model = _pairs(spark, d).groupBy("a", "b").agg(F.count("*").alias("n"))
-    made = markov_text(model, "a", "b", "n", ["the"], 400, 40, 42)
     out = None
-    for order in (1, 2, 3):
-        for kind, src, tok in (("real", _docs(spark, d).select("text"), _tokens()), ("generated", made, F.col("tokens"))):
-            g = Q.ngrams(src, [], tok, order + 1)
-            p = g.select(F.array_join(F.slice("gram", 1, order), " ").alias("a"), F.element_at("gram", -1).alias("b"))
-            h = I.conditional_entropy(p, [], "a", "b").select(F.lit(order).alias("ord"), F.lit(kind).alias("kind"), r("cond_entropy").alias("h"))
-            out = h if out is None else out.unionByName(h)
+    for order in range(1, 6):
+        real = _order(_docs(spark, d).select("text"), _tokens(), order)
+        made = markov_text(real.groupBy("a", "b").agg(F.count("*").alias("n")), "a", "b", "n", [], 400, 40, 42, order=order)
+        both = I.conditional_entropy(real, [], "a", "b").select(r("cond_entropy").alias("real")).join(I.conditional_entropy(_order(made, F.col("tokens"), order), [], "a", "b").select(r("cond_entropy").alias("made")))
+        one = both.select(F.lit(order).alias("ord"), "real", "made", r(F.abs(F.col("real") - F.col("made"))).alias("gap"))
+        out = one if out is None else out.unionByName(one)
     return out
 
 
+def _order(src: DataFrame, tokens, order: int) -> DataFrame:
+    """Contexts of ``order`` words and what follows."""
+    g = Q.ngrams(src, [], tokens, order + 1)
+    return g.select(F.array_join(F.slice("gram", 1, order), " ").alias("a"), F.element_at("gram", -1).alias("b"))
+
+
+def _order_sql(k: int) -> str:
+    return f"""SELECT {k} AS ord, round(sum(m * log2(m) - s) / sum(m), 5) AS h, sum(m)::BIGINT AS n_grams FROM (SELECT a, sum(n) AS m, sum(n * log2(n)) AS s FROM
+  (SELECT array_to_string(l[i:i + {k - 1}], ' ') AS a, l[i + {k}] AS b, count(*) AS n FROM (SELECT l, unnest(range(1, len(l) - {k - 1})) AS i FROM tok WHERE len(l) > {k}) GROUP BY ALL) GROUP BY 1)"""
+
+
+@query("entropy_orders", "WIN15", "WIN25", "INF03", sql=f"""
+WITH {_TOK}, o AS ({' UNION ALL '.join(_order_sql(k) for k in range(1, 6))}),
+p AS (SELECT *, abs(h - lag(h) OVER (ORDER BY ord)) AS move FROM o) SELECT ord, h, n_grams, coalesce(ord = (SELECT min(ord) FROM p WHERE move < 0.5), false) AS plateau FROM p""")
+def entropy_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of orders 1 to 5, their conditional entropies, and the first order at which these move by less than half a bit."""
+    out = None
+    for k in range(1, 6):
+        p = _order(_docs(spark, d).select("text"), _tokens(), k)
+        one = p.groupBy("a", "b").agg(F.count("*").alias("n")).groupBy("a").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log2("n")).alias("s"))
+        one = one.agg(r(F.sum(F.col("m") * F.log2("m") - F.col("s")) / F.sum("m"), 5).alias("h"), F.sum("m").alias("n_grams")).select(F.lit(k).alias("ord"), "h", "n_grams")
+        out = one if out is None else out.unionByName(one)
+    out = cut_lineage(out)
+    flat = Q.plateau(out, "ord", "h", 0.5).first()
+    return out.withColumn("plateau", F.col("ord") == F.lit(flat[0] if flat and flat[0] is not None else -1))
+
+
 # -- strings ---------------------------------------------------------------------------------------------------------------
 
 
@@ -196,7 +225,7 @@ def name_candidates(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", F.explode(found).alias("name")).join(F.broadcast(stop), "name", "left_anti").select("doc_id", "name")
 
 
-@query("clean_texts", "STR01", "STR03", "STR10", "STR18", sql=r"""
+@query("clean_texts", "STR01", "STR03", "STR18", sql=r"""
 SELECT row_no, trim(regexp_replace(coalesce(text, ''), '[ \t\n\r\f\v]+', ' ', 'g')) AS squeezed,
   coalesce(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(xml, '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '[ \t\n\r\f\v]+', ' ', 'g')), '') AS stripped,
   regexp_replace(split_part(split_part(source_url, '?', 1), '#', 1), '/+$', '') AS page FROM papyri_documents""")
@@ -213,31 +242,28 @@ def place_normalised(spark: SparkSession, d: str) -> DataFrame:
     return k.groupBy(X.drop_remark(F.col("place")).alias("place")).agg(F.count("*").alias("n"))
 
 
-@query("accent_fold", sql="""
-SELECT DISTINCT our_name, strip_accents(our_name) AS folded FROM trismegistos_matches_top50 WHERE regexp_matches(our_name, '^[A-Za-zα-ωΑ-Ωάέήίόύώ .]+$')""")
-def accent_fold(spark: SparkSession, d: str) -> DataFrame:
-    """Names of plain letters only, where DuckDB folds alike; ``accent_fold_all`` has every name."""
-    k = t(spark, d, "trismegistos_matches_top50").select("our_name").filter(F.col("our_name").rlike("^[A-Za-zα-ωΑ-Ωάέήίόύώ .]+$")).distinct()
-    return k.select("our_name", X.fold_accents(F.col("our_name")).alias("folded"))
+_FOLD = rf"translate(regexp_replace({{}}, '\p{{{{Mn}}}}', '', 'g'), '{X.FOLD_FROM}', '{X.FOLD_TO}')"
 
 
-@query("accent_fold_all", "STR04")
-def accent_fold_all(spark: SparkSession, d: str) -> DataFrame:
+@query("accent_fold", "STR04", sql=f"SELECT DISTINCT our_name, replace(lower({_FOLD.format('our_name')}), 'ς', 'σ') AS folded FROM trismegistos_matches_top50 WHERE our_name IS NOT NULL")
+def accent_fold(spark: SparkSession, d: str) -> DataFrame:
     k = t(spark, d, "trismegistos_matches_top50").select("our_name").filter("our_name is not null").distinct()
-    return k.select("our_name", X.fold_accents(F.col("our_name")).alias("folded"))
+    return k.select("our_name", F.replace(F.lower(X.fold_accents(F.col("our_name"))), F.lit("ς"), F.lit("σ")).alias("folded"))
+
 
+def _endings() -> str:
+    """The rule of the nominative as SQL: the first ending that leaves four letters decides."""
+    fits = "WHEN suffix(w, '{o}') AND length(w) - {a} + {b} >= 4 THEN left(w, length(w) - {a}) || '{n}'"
+    return "CASE " + " ".join(fits.format(o=o, n=n, a=len(o), b=len(n)) for n, olds in X.DECLENSIONS.items() for o in olds) + " ELSE w END"
 
-@query("stem_suffix", "STR05", "STR06", sql="""
-WITH k AS (SELECT DISTINCT lower(strip_accents(unnest(string_split(our_name, ' ')))) AS w FROM trismegistos_matches_top50 WHERE regexp_matches(our_name, '^[Α-Ω][α-ωάέήίόύώ]+( [Α-Ω][α-ωάέήίόύώ]+)?$'))
-SELECT w, CASE WHEN suffix(w, 'ωνος') AND length(w) >= 6 THEN left(w, length(w) - 4) || 'ων' WHEN suffix(w, 'ωνι') AND length(w) >= 5 THEN left(w, length(w) - 3) || 'ων'
-  WHEN suffix(w, 'ωνα') AND length(w) >= 5 THEN left(w, length(w) - 3) || 'ων' WHEN suffix(w, 'ιου') AND length(w) >= 4 THEN left(w, length(w) - 3) || 'ιος'
-  WHEN suffix(w, 'ιωι') AND length(w) >= 4 THEN left(w, length(w) - 3) || 'ιος' WHEN suffix(w, 'ιον') AND length(w) >= 4 THEN left(w, length(w) - 3) || 'ιος'
-  WHEN suffix(w, 'ου') AND length(w) >= 4 THEN left(w, length(w) - 2) || 'ος' WHEN suffix(w, 'ωι') AND length(w) >= 4 THEN left(w, length(w) - 2) || 'ος'
-  WHEN suffix(w, 'ον') AND length(w) >= 4 THEN left(w, length(w) - 2) || 'ος' WHEN suffix(w, 'ω') AND length(w) >= 3 THEN left(w, length(w) - 1) || 'ος' ELSE w END AS nominative FROM k""")
+
+@query("stem_suffix", "STR05", "STR06", sql=f"""
+WITH k AS (SELECT DISTINCT regexp_replace(x, 'σ$', 'ς') AS w FROM (SELECT unnest(string_split(lower({_FOLD.format('our_name')}), ' ')) AS x FROM trismegistos_matches_top50))
+SELECT w, {_endings()} AS nominative FROM k WHERE length(w) > 1""")
 def stem_suffix(spark: SparkSession, d: str) -> DataFrame:
-    k = t(spark, d, "trismegistos_matches_top50").filter(F.col("our_name").rlike("^[Α-Ω][α-ωάέήίόύώ]+( [Α-Ω][α-ωάέήίόύώ]+)?$"))
-    w = k.select(F.explode(F.split(F.lower(X.fold_accents(F.col("our_name"))), " ")).alias("w")).distinct()
-    return w.select("w", X.nominative(F.col("w")).alias("nominative"))
+    k = t(spark, d, "trismegistos_matches_top50").filter("our_name is not null")
+    w = k.select(F.explode(F.split(F.lower(X.fold_accents(F.col("our_name"))), " ")).alias("x")).select(F.regexp_replace("x", "σ$", "ς").alias("w")).distinct()
+    return w.filter(F.length("w") > 1).select("w", X.nominative(F.col("w")).alias("nominative"))
 
 
 @query("mention_counts", "STR08", "AGG25", sql=r"""
@@ -246,15 +272,15 @@ def mention_counts(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(X.mentions(F.lower("text"), r"\bthe\b")).alias("n_mentions"))
 
 
-@query("sentence_lengths", "STR12", "STR13", sql=r"""
-WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '^[ -~]*$'))
-SELECT doc_id, round(list_sum(list_transform(l, lambda x: len(regexp_split_to_array(x, '\s+')))) / len(l), 6) AS mean_words FROM s WHERE len(l) > 0""")
+@query("sentence_lengths", "STR13", sql=r"""
+WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, round(list_sum(list_transform(l, lambda x: len(regexp_split_to_array(x, '[ \t\n\x0B\f\r]+')))) / len(l), 6) AS mean_words FROM s WHERE len(l) > 0""")
 def sentence_lengths(spark: SparkSession, d: str) -> DataFrame:
-    k = t(spark, d, "documents").filter("text is not null").filter(F.col("text").rlike(r"^[ -~]*\z"))
+    k = t(spark, d, "documents").filter("text is not null")
     return rounded(k.select("doc_id", X.sentence_length(F.col("text")).alias("mean_words")).filter("mean_words is not null"))
 
 
-@query("string_forms", "STR02", "STR11", "STR15", "STR16", "STR20", "STR21", "STR22", sql=r"""
+@query("string_forms", "STR15", "STR16", "STR22", sql=r"""
 SELECT row_no, substr(captured_at::VARCHAR, 1, 13) AS hour_key, try_cast(nullif(regexp_extract(replace(date_text, ',', ''), '([-+]?[0-9]*\.?[0-9]+)', 1), '') AS DOUBLE) AS number,
   CASE WHEN regexp_matches(source_url, '^https?://(www\.)?(youtube\.com|youtu\.be)/') THEN 'video' WHEN regexp_matches(source_url, '\.(mp3|m4a|wav|ogg)$') THEN 'audio'
     WHEN regexp_matches(source_url, '(/feed|\.rss|\.xml)$') THEN 'feed' WHEN regexp_matches(source_url, '^https?://') THEN 'page' ELSE 'file' END AS kind,
@@ -265,24 +291,14 @@ def string_forms(spark: SparkSession, d: str) -> DataFrame:
         X.address_kind(F.col("source_url")).alias("kind"), X.trim_chars(F.col("source_url")).alias("trimmed"))
 
 
-@query("fuzzy_best", "SET09", sql="""
-WITH p AS (SELECT a.place_name AS q, b.place_name AS c, 1 - levenshtein(lower(a.place_name), lower(b.place_name)) / greatest(length(a.place_name), length(b.place_name)) AS s
-  FROM (SELECT DISTINCT place_name FROM place_reference) a JOIN (SELECT DISTINCT place_name FROM place_reference) b ON a.place_name <> b.place_name AND lower(left(a.place_name, 1)) = lower(left(b.place_name, 1)))
-SELECT q, arg_min(c, (-round(s, 9), c)) AS best, round(max(s), 6) AS score FROM p GROUP BY 1""")
+@query("fuzzy_best", "STR25", "SET09", sql="""
+WITH a AS (SELECT DISTINCT place_name AS q FROM place_reference), p AS (SELECT a.q, b.q AS c, round(1 - levenshtein(lower(a.q), lower(b.q)) / greatest(length(a.q), length(b.q)), 9) AS s FROM a JOIN a b ON a.q <> b.q)
+SELECT q, arg_min(c, (-s, c)) AS best, round(max(s), 6) AS score FROM p GROUP BY 1""")
 def fuzzy_best(spark: SparkSession, d: str) -> DataFrame:
-    """The most similar other name that begins alike: the first letter blocks the pairs.  ``fuzzy_best_all`` has no such block."""
-    a = t(spark, d, "place_reference").select(F.col("place_name").alias("q")).distinct().withColumn("b", F.lower(F.substring("q", 1, 1)))
-    c = a.select(F.col("q").alias("c"), "b")
-    p = a.join(c, "b").filter("q <> c").withColumn("s", X.levenshtein_ratio(F.lower("q"), F.lower("c")))
-    return p.groupBy("q").agg(F.min_by("c", F.struct(-F.round("s", 9), F.col("c"))).alias("best"), r(F.max("s")).alias("score"))
-
-
-@query("fuzzy_best_all", "STR25", "SET09")
-def fuzzy_best_all(spark: SparkSession, d: str) -> DataFrame:
-    """The most similar of all other names, however it begins (ties: the first in order).  The list of places is fixed."""
-    a = t(spark, d, "place_reference").select(F.col("place_name").alias("q")).distinct()
-    p = a.join(a.withColumnRenamed("q", "c"), F.col("q") != F.col("c")).withColumn("s", F.round(X.levenshtein_ratio(F.lower("q"), F.lower("c")), 9))
-    return p.groupBy("q").agg(F.min_by("c", F.struct(-F.col("s"), F.col("c"))).alias("best"), r(F.max("s")).alias("score"))
+    """The most similar of all other names (ties: the first in order).  The choices are a fixed list, checked, that travels with the
+    rows as a literal; each row looks through all of them in place, so nothing is joined or shuffled."""
+    a = t(spark, d, "place_reference").select(F.col("place_name").alias("q")).filter("place_name is not null").distinct()
+    return E.best_choice(a, "q", [x["q"] for x in a.orderBy("q").limit(E.MAX_CHOICES + 1).collect()]).select("q", "best", r("score").alias("score"))
 
 
 # -- historical periods ------------------------------------------------------------------------------------------------------
@@ -322,7 +338,7 @@ def before_after_ratio(spark: SparkSession, d: str) -> DataFrame:
     return rounded(k.agg(b.alias("before"), a.alias("after_"), (a / F.nullif(b, F.lit(0.0))).alias("ratio")))
 
 
-@query("parsed_dates", "DT10", "DT16", "DT01", sql="""
+@query("parsed_dates", "DT10", "DT01", sql="""
 SELECT fetch_no, fetched_at::DATE AS day, date_trunc('hour', fetched_at)::TIMESTAMP AS hour FROM season_pbp_2026""")
 def parsed_dates(spark: SparkSession, d: str) -> DataFrame:
     txt = F.date_format("fetched_at", "yyyy-MM-dd'T'HH:mm:ss")
