@@ -76,3 +76,36 @@ def log_loss(p: Column, y: Column, eps: float = 1e-12) -> Column:
 
 def safe_ratio(a: Column, b: Column, otherwise: float | None = None) -> Column:
     return F.when(b == 0, F.lit(otherwise)).otherwise(a / b)
+
+
+def pair_features(home_for: Column, away_for: Column, home_against: Column, away_against: Column, home_pace: Column, away_pace: Column, home_tempo: Column, away_tempo: Column) -> list[Column]:
+    """Twelve features of a pairing: levels of both sides, their differences and sums, shares of pace and tempo."""
+    pace = home_pace + away_pace
+    return [
+        home_for.alias("home_for"), away_for.alias("away_for"), home_against.alias("home_against"), away_against.alias("away_against"), F.when(pace > 0, home_pace / pace).otherwise(0.5).alias("pace_share"),
+        (home_for - away_for).alias("diff"), (home_for + away_for).alias("total"), (home_for - home_against).alias("home_net"), (away_for - away_against).alias("away_net"),
+        home_tempo.alias("home_tempo"), away_tempo.alias("away_tempo"), (away_tempo - home_tempo).alias("tempo_diff"),
+    ]
+
+
+def totals_features(home_for: Column, away_for: Column, home_against: Column, away_against: Column) -> list[Column]:
+    """Nine features of the sum of both scores."""
+    home, away = home_for - home_against, away_for - away_against
+    return [
+        home_for.alias("home_for"), away_for.alias("away_for"), home_against.alias("home_against"), away_against.alias("away_against"), (home_for + away_for).alias("total"),
+        home.alias("home_net"), away.alias("away_net"), ((home + away) / 2).alias("mean_net"), ((home_against + away_against) / 2).alias("mean_against"),
+    ]
+
+
+def both_ways(p: Column, turned: Column) -> Column:
+    """A probability freed of which side was named first: the mean of it and of what the turned-round pairing leaves."""
+    return (p + 1 - turned) / 2
+
+
+def damped(x: Column, factor: float) -> Column:
+    return x * F.lit(factor)
+
+
+def milli(x: Column) -> Column:
+    """Thousandths of a unit in units."""
+    return x / 1000

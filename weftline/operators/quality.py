@@ -83,6 +83,22 @@ def file_problems(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, problem string")
 
 
+def gate(expected: DataFrame, found: DataFrame, key: str, problem: str) -> DataFrame:
+    """``(key, problem)`` of every expected file, those that are not there as 'missing', and a last row 'gate': 'closed' if any
+    has a problem, else null."""
+    judged = expected.select(key).join(found.withColumn("_there", F.lit(True)), key, "left").select(key, F.when(F.col("_there"), F.col(problem)).otherwise("missing").alias(problem))
+    verdict = judged.agg(F.when(F.count(problem) > 0, "closed").alias(problem)).select(F.lit("gate").alias(key), problem)
+    return judged.unionByName(verdict)
+
+
+def heal(have: DataFrame, source: DataFrame, keys: Sequence[str], day: str, last, days: int) -> DataFrame:
+    """The trailing window of ``days`` up to ``last``: rows there are, and those of ``source`` whose key is missing, marked ``healed``."""
+    window = (F.col(day) > F.date_sub(F.lit(last), days)) & (F.col(day) <= F.lit(last))
+    kept = have.filter(window)
+    fetched = source.filter(window).join(kept.select(*keys), list(keys), "left_anti")
+    return kept.withColumn("healed", F.lit(False)).unionByName(fetched.select(*kept.columns).withColumn("healed", F.lit(True)))
+
+
 def repair(manifest: DataFrame, disk: DataFrame, key: str, status: str) -> DataFrame:
     """The manifest brought in line with the disk: files there are 'ok', entries without a file 'missing'."""
     m, d = manifest.select(key, F.col(status).alias("_s")), disk.select(key, F.lit(True).alias("_d"))

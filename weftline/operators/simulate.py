@@ -87,8 +87,9 @@ def bankroll(spark: SparkSession, bets: Sequence[tuple[float, float]], fractions
     return spark.range(sims).mapInPandas(run, "strategy int, sim bigint, final double, ruined boolean")
 
 
-def markov_text(model: DataFrame, context: str, token: str, count: str, starts: Sequence[str], length: int, runs: int, seed: int, max_rows: int = 5_000_000) -> DataFrame:
-    """``(run, tokens array)``: weighted walks through an order-1 model ``(context, token, count)``; a dead end jumps to a random context."""
+def markov_text(model: DataFrame, context: str, token: str, count: str, starts: Sequence[str], length: int, runs: int, seed: int, max_rows: int = 5_000_000, order: int = 1) -> DataFrame:
+    """``(run, tokens array)``: weighted walks through a model ``(context, token, count)``, whose contexts are ``order`` tokens
+    with blanks between; a dead end jumps to a random context, whose tokens are written down."""
     rows = model.select(context, token, count).orderBy(context, token).limit(max_rows + 1).collect()
     if len(rows) > max_rows:
         raise ValueError(f"more than {max_rows} transitions")
@@ -107,15 +108,15 @@ def markov_text(model: DataFrame, context: str, token: str, count: str, starts:
             out = []
             for i in b["id"]:
                 g = np.random.Generator(np.random.Philox(key=[seed, int(i)]))
-                cur = starts[int(i) % len(starts)] if starts else all_keys[int(g.integers(len(all_keys)))]
-                seq = [cur]
+                seq = (starts[int(i) % len(starts)] if starts else all_keys[int(g.integers(len(all_keys)))] if all_keys else "").split(" ")
                 while len(seq) < length and all_keys:
-                    if cur not in tab:
-                        cur = all_keys[int(g.integers(len(all_keys)))]
+                    at = tab.get(" ".join(seq[-order:]))
+                    if at is None:
+                        seq += all_keys[int(g.integers(len(all_keys)))].split(" ")
                     else:
-                        ts, cum = tab[cur]
-                        cur = ts[min(int(np.searchsorted(cum, g.random())), len(ts) - 1)]
-                    seq.append(cur)
+                        ts, cum = at
+                        seq.append(ts[min(int(np.searchsorted(cum, g.random())), len(ts) - 1)])
+                del seq[length:]
                 out.append(seq)
             yield pd.DataFrame({"run": b["id"], "tokens": out})
 
