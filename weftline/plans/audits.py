@@ -8,7 +8,7 @@ from weftline.operators import quality as D
 from weftline.plans._util import r, t
 
 
-@query("gap_report", "JON22", "DQ05", "STM06", sql="""
+@query("gap_report", "JON22", "DQ05", sql="""
 WITH e AS (SELECT h, k FROM (SELECT unnest(generate_series(date_trunc('hour', min(ts)), date_trunc('hour', max(ts)), INTERVAL 1 HOUR)) AS h FROM events), (SELECT DISTINCT event_type AS k FROM events))
 SELECT h::TIMESTAMP AS hour, k AS event_type FROM e WHERE NOT EXISTS (SELECT 1 FROM events WHERE date_trunc('hour', ts) = h AND event_type = k)""")
 def gap_report(spark: SparkSession, d: str) -> DataFrame:
@@ -17,7 +17,7 @@ def gap_report(spark: SparkSession, d: str) -> DataFrame:
     return D.gaps(grid.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "event_type"), ev, ["hour", "event_type"])
 
 
-@query("manifest_rollup", "AGG37", "SNK09", "DQ06", sql="""
+@query("manifest_rollup", "AGG37", sql="""
 WITH k AS (SELECT batch_date, captured_at::DATE <= batch_date AND xml IS NOT NULL AS ok FROM papyri_documents)
 SELECT batch_date, count(*) AS n_expected, count_if(ok)::BIGINT AS n_ok, count_if(NOT ok)::BIGINT AS n_failed, bool_and(ok) AS complete FROM k GROUP BY 1""")
 def manifest_rollup(spark: SparkSession, d: str) -> DataFrame:
@@ -68,7 +68,7 @@ def resumable_plan(spark: SparkSession, d: str) -> DataFrame:
     return D.plan(chunks, usable, ["month"], ["month"], "cost", 120.0).select("month", "spent")
 
 
-@query("captured_json", "ARR07", "DQ04", "DQ09", sql="""
+@query("captured_json", "ARR07", sql="""
 SELECT game_id, count(*) AS n_fetches, count_if(payload IS NOT NULL AND payload <> '' AND json_valid(payload))::BIGINT AS n_usable FROM season_pbp_2026 GROUP BY 1""")
 def captured_json(spark: SparkSession, d: str) -> DataFrame:
     ok = F.coalesce(F.try_parse_json("payload").isNotNull() & (F.col("payload") != ""), F.lit(False))

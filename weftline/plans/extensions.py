@@ -61,6 +61,13 @@ def ext_null_safe_join(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, F.col("a").eqNullSafe(F.col("b")) & (F.col("n") > 2), "full_outer")
 
 
+@query("ext_right_join", "EXT04", sql="""
+SELECT n_name, r_name FROM (SELECT * FROM nation WHERE n_nationkey % 2 = 0) RIGHT JOIN region ON n_regionkey = r_regionkey AND n_nationkey > 10""")
+def ext_right_join(spark: SparkSession, d: str) -> DataFrame:
+    n = t(spark, d, "nation").filter("n_nationkey % 2 = 0")
+    return n.join(t(spark, d, "region"), (F.col("n_regionkey") == F.col("r_regionkey")) & (F.col("n_nationkey") > 10), "right_outer").select("n_name", "r_name")
+
+
 @query("ext_rollup", "EXT05", sql="""
 SELECT l_returnflag, l_linestatus, grouping_id(l_returnflag, l_linestatus)::BIGINT AS gid, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""")
 def ext_rollup(spark: SparkSession, d: str) -> DataFrame:
@@ -87,20 +94,29 @@ def ext_distinct_filter(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("ext_approximate", "EXT07")
+@query("ext_approximate", "EXT07", sql="""
+SELECT l_returnflag, count(DISTINCT l_orderkey) AS orders, round(median(l_extendedprice), 3)::DOUBLE AS median, true AS orders_near, true AS median_near FROM lineitem GROUP BY 1""")
 def ext_approximate(spark: SparkSession, d: str) -> DataFrame:
-    """Sketches beside exact figures: distinct orders and median price."""
-    return t(spark, d, "lineitem").groupBy("l_returnflag").agg(
-        F.approx_count_distinct("l_orderkey", 0.02).alias("about_orders"), F.countDistinct("l_orderkey").alias("orders"), F.percentile_approx("l_extendedprice", 0.5, 1000).alias("about_median"), F.median("l_extendedprice").alias("median")
+    """Exact figures and whether their sketches come near: distinct orders within a tenth, median price within a hundredth."""
+    g = t(spark, d, "lineitem").groupBy("l_returnflag").agg(
+        F.approx_count_distinct("l_orderkey", 0.02).alias("a"), F.countDistinct("l_orderkey").alias("orders"), F.percentile_approx("l_extendedprice", 0.5, 1000).alias("b"), r(F.median("l_extendedprice"), 3).alias("median")
     )
+    near = lambda x, y, e: F.abs(F.col(x) / F.col(y) - 1) < e
+    return g.select("l_returnflag", "orders", "median", near("a", "orders", 0.1).alias("orders_near"), near("b", "median", 0.01).alias("median_near"))
 
 
 @query("ext_moments", "EXT08", sql="""
-SELECT o_orderstatus, round(kurtosis_pop(o_totalprice), 5) AS kurt, mode(o_orderpriority) AS m, round(var_samp(o_totalprice) / 1e6, 4) AS var FROM orders
-WHERE o_orderpriority IN ('1-URGENT') GROUP BY 1""")
+WITH c AS (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL), m AS (SELECT o_orderstatus, arg_min(o_orderpriority, (-n, o_orderpriority)) AS m, string_agg(o_orderpriority, ',' ORDER BY o_orderpriority) AS listed FROM c GROUP BY 1)
+SELECT o.o_orderstatus, round(kurtosis_pop(o_totalprice), 4) AS kurt, round(skewness(o_totalprice) * (count(*) - 2) / sqrt(count(*) * (count(*) - 1)), 4)::DOUBLE AS skew, any_value(m) AS m, any_value(listed) AS listed, round(var_samp(o_totalprice) / 1e6, 3) AS var
+FROM orders o JOIN m USING (o_orderstatus) GROUP BY 1""")
 def ext_moments(spark: SparkSession, d: str) -> DataFrame:
-    o = t(spark, d, "orders").filter("o_orderpriority in ('1-URGENT')")
-    return o.groupBy("o_orderstatus").agg(r(F.kurtosis("o_totalprice"), 5).alias("kurt"), F.mode("o_orderpriority").alias("m"), r(F.var_samp("o_totalprice") / 1e6, 4).alias("var"))
+    """Moments, the commonest value (the first in order of several) and the list of values of each group."""
+    g = t(spark, d, "orders").groupBy("o_orderstatus")
+    m = g.agg(r(F.kurtosis("o_totalprice"), 4).alias("kurt"), r(F.skewness("o_totalprice"), 4).alias("skew"), F.mode("o_orderpriority", deterministic=True).alias("m"), r(F.var_samp("o_totalprice") / 1e6, 3).alias("var"))
+    kinds = t(spark, d, "orders").select("o_orderstatus", "o_orderpriority").distinct()
+    kinds.createOrReplaceTempView("ext_kinds")
+    listed = spark.sql("SELECT o_orderstatus, listagg(o_orderpriority, ',') WITHIN GROUP (ORDER BY o_orderpriority) AS listed FROM ext_kinds GROUP BY 1")
+    return m.join(listed, "o_orderstatus")
 
 
 @query("ext_rank_family", "EXT10", sql="""
@@ -158,7 +174,10 @@ def ext_variant(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "events").select("event_id", F.variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
 
 
-@query("ext_user_functions", "EXT18")
+@query("ext_user_functions", "EXT18", sql="""
+WITH e AS (SELECT event_type, (value - 50) / 10 AS v FROM events), q AS (SELECT event_type, quantile_cont(v, 0.1) AS lo, quantile_cont(v, 0.9) AS hi FROM e GROUP BY 1),
+m AS (SELECT event_type, round(avg(v), 6) AS tm FROM e JOIN q USING (event_type) WHERE v BETWEEN lo AND hi GROUP BY 1)
+SELECT event_type, tm, unnest([left(event_type, length(event_type) // 2), substr(event_type, length(event_type) // 2 + 1)]) AS part FROM m""")
 def ext_user_functions(spark: SparkSession, d: str) -> DataFrame:
     """A scalar and an aggregating function over Arrow batches and a table function, side by side."""
 
@@ -183,7 +202,8 @@ def ext_user_functions(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("SELECT event_type, round(tm, 6) AS tm, part FROM ext_trimmed, LATERAL halves(event_type)")
 
 
-@query("ext_connectors", "EXT19", "SNK01", "SNK02", "SNK03", "SNK07", "SNK08", "SRC01", "SRC03", "SRC09")
+@query("ext_connectors", "EXT19", sql="""
+SELECT f AS format, count(*) AS n, sum(n_nationkey)::BIGINT AS keys FROM nation CROSS JOIN (VALUES ('orc'), ('parquet'), ('csv'), ('json'), ('gz'), ('text')) v(f) GROUP BY 1""")
 def ext_connectors(spark: SparkSession, d: str) -> DataFrame:
     """One table through every file format and back: the rows each brings home."""
     import uuid
@@ -212,7 +232,10 @@ def ext_connectors(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query("ext_vector_search", "EXT20")
+@query("ext_vector_search", "EXT20", sql="""
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL),
+p AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(q.v, e.v) AS c FROM e q JOIN e ON q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, vec_id)::INTEGER AS rk FROM p) SELECT query_id, vec_id, rk, round(c, 6) AS cosine FROM k WHERE rk <= 5""")
 def ext_vector_search(spark: SparkSession, d: str) -> DataFrame:
     """The five nearest vectors by cosine of every vector whose id is divisible by 20, exactly, in blocks.
 

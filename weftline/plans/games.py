@@ -71,7 +71,7 @@ def adjacent_dedup(spark: SparkSession, d: str) -> DataFrame:
     return Q.drop_adjacent_repeats(t(spark, d, "events").select("event_id", "user_id", "ts", "event_type"), ["user_id"], ["ts", "event_id"], "event_type").select("event_id", "event_type")
 
 
-@query("active_spans", "STM01", "MTH17", sql="""
+@query("active_spans", "STM01", sql="""
 WITH k AS (SELECT user_id, ts, event_id, CASE WHEN value >= 40 THEN 1 ELSE 0 END AS o FROM events),
 l AS (SELECT *, CASE WHEN lag(o) OVER (PARTITION BY user_id ORDER BY ts) = o THEN 0 ELSE 1 END AS f FROM k),
 m AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM l)
@@ -80,7 +80,7 @@ def active_spans_query(spark: SparkSession, d: str) -> DataFrame:
     return active_spans(t(spark, d, "events").select("user_id", "ts", "value"), "user_id", "ts", "value", 40)
 
 
-@query("game_scoring", "AGG05", "ARR01", "ARR11", "SRC05", sql="""
+@query("game_scoring", "AGG05", "ARR01", "ARR11", sql="""
 WITH w AS (SELECT fetch_no, payload FROM season_pbp_2026 WHERE payload IS NOT NULL AND payload <> '' AND json_valid(payload)),
 p AS (SELECT fetch_no, e.value AS j FROM w, json_each(payload, '$.plays') e WHERE json_type(e.value) = 'OBJECT')
 SELECT fetch_no, count(*) AS n_plays, count_if(json_type(j, '$.scoringPlay') = 'BOOLEAN' AND (j->>'$.scoringPlay') = 'true')::BIGINT AS n_scoring,
@@ -92,7 +92,11 @@ def game_scoring(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("fetch_no").agg(F.count("*").alias("n_plays"), F.count_if(F.col("scoring_play")).alias("n_scoring"), F.count_if(F.length("text") > 5).alias("n_texts"))
 
 
-@query("game_first_to_ten", "WIN02", "STM03")
+@query("game_first_to_ten", "WIN02", "STM03", sql="""
+WITH w AS (SELECT fetch_no, payload FROM season_pbp_2026 WHERE payload IS NOT NULL AND payload <> '' AND json_valid(payload)),
+p AS (SELECT fetch_no, e.key::BIGINT AS k, try_cast(e.value->>'$.homeScore' AS INTEGER) AS h, try_cast(e.value->>'$.awayScore' AS INTEGER) AS a FROM w, json_each(payload, '$.plays') e WHERE json_type(payload, '$.plays') = 'ARRAY' AND json_type(e.value) = 'OBJECT'),
+g AS (SELECT fetch_no, min(CASE WHEN h >= 10 THEN k END) AS h, min(CASE WHEN a >= 10 THEN k END) AS a FROM p GROUP BY 1)
+SELECT fetch_no, CASE WHEN h IS NULL OR a <= h THEN 'away' ELSE 'home' END AS winner FROM g WHERE a IS NOT NULL OR h IS NOT NULL""")
 def game_first_to_ten(spark: SparkSession, d: str) -> DataFrame:
     """The side that first has ten points in each fetch of a real game, away first if both do in one play."""
     from weftline.plans.p02_nested import p2_plays

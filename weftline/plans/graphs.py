@@ -8,8 +8,11 @@ from weftline.functions import times
 from weftline.functions.text import fold_accents
 from weftline.operators import entity as E
 from weftline.operators import graph as G
-from weftline.operators.relational import jaccard
 from weftline.plans._util import r, rounded, t
+from weftline.plans.textstats import FOLD_SQL as T_FOLD
+from weftline.plans.textstats import endings_sql
+
+T_ENDINGS = endings_sql()
 
 _NAMES = "nm AS (SELECT DISTINCT row_no, trim(place) AS place, archive_key, name FROM (SELECT row_no, place, archive_key, unnest(person_names) AS name FROM papyri_documents) WHERE name IS NOT NULL AND trim(name) <> '')"
 
@@ -147,14 +150,23 @@ def betweenness(spark: SparkSession, d: str) -> DataFrame:
     return rounded(G.betweenness(place_network(spark, d)))
 
 
-@query("supplier_components", "GRA04", "EXT14")
+@query("supplier_components", "GRA04", "EXT14", sql="""
+WITH RECURSIVE k AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem), e AS (SELECT DISTINCT a.s AS x, b.s AS y FROM k a JOIN k b USING (o)),
+c(id, least) AS (SELECT x, x FROM e UNION SELECT e.y, c.least FROM c JOIN e ON e.x = c.id WHERE c.least < e.y)
+SELECT id, min(least) AS component FROM c GROUP BY 1""")
 def supplier_components(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers that share orders, as components."""
     li = t(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
     return G.components(G.pairs_within(li, "l_orderkey", "l_suppkey").select("src", "dst").distinct())
 
 
-@query("name_pairs", "ENT01", "SET09", "FIL10")
+@query("name_pairs", "ENT01", "SET09", "FIL10", sql=f"""
+WITH p AS (SELECT person_id, archive_key, lower({T_FOLD.format('canonical_name')}) AS f, coalesce(year_range.year_from, year_range.year_to) AS lo, coalesce(year_range.year_to, year_range.year_from) AS hi FROM canonical_persons),
+w AS (SELECT DISTINCT person_id, i, regexp_replace(x, 'σ$', 'ς') AS w FROM (SELECT person_id, unnest(regexp_split_to_array(f, '[^\\p{{L}}]+')) AS x, generate_subscripts(regexp_split_to_array(f, '[^\\p{{L}}]+'), 1) AS i FROM p) WHERE length(x) > 1),
+n AS (SELECT person_id, i, {T_ENDINGS} AS s FROM w), l AS (SELECT person_id, array_to_string(list(s ORDER BY i), ' ') AS whole, list_distinct(list(s)) AS s FROM n GROUP BY 1)
+SELECT a.person_id AS a, b.person_id AS b FROM p a JOIN p b ON a.archive_key = b.archive_key AND a.person_id < b.person_id JOIN l x ON x.person_id = a.person_id JOIN l y ON y.person_id = b.person_id
+WHERE len(list_intersect(x.s, y.s)) > 0 AND coalesce(a.lo - 200 <= b.hi AND b.lo - 200 <= a.hi, true)
+  AND (a.f = b.f OR x.whole = y.whole AND length(x.whole) >= 4 OR len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s))) >= 0.5)""")
 def name_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of person rows of one archive that the rule takes for one person."""
     p = t(spark, d, "canonical_persons").select("person_id", "archive_key", "canonical_name", "year_range")
@@ -181,7 +193,10 @@ def name_reduction(spark: SparkSession, d: str) -> DataFrame:
     return rounded(E.reduction(t(spark, d, "canonical_persons"), name_clusters(spark, d)))
 
 
-@query("cached_references", "ENT07")
+@query("cached_references", "ENT07", sql="""
+WITH d AS (SELECT row_no, trim(tm_id) AS tm_id, cross_refs, batch_date FROM papyri_documents WHERE trim(tm_id) <> ''), k AS (SELECT *, (SELECT max(batch_date) FROM d) AS last FROM d WHERE cross_refs IS NOT NULL),
+c AS (SELECT tm_id, arg_min(len(map_keys(cross_refs)), row_no) AS n FROM k WHERE batch_date < last GROUP BY 1), s AS (SELECT tm_id, arg_min(len(map_keys(cross_refs)), row_no) AS n FROM k WHERE batch_date IS NULL OR batch_date = last GROUP BY 1)
+SELECT row_no, tm_id, coalesce(c.n, s.n)::INTEGER AS n_refs, c.n IS NOT NULL AS cached FROM d LEFT JOIN c USING (tm_id) LEFT JOIN s USING (tm_id)""")
 def cached_references(spark: SparkSession, d: str) -> DataFrame:
     """References of every document with a TM number: the batches before the last are the cache, the last one is fetched from."""
     docs = t(spark, d, "papyri_documents").select("row_no", F.trim("tm_id").alias("tm_id"), "cross_refs", "batch_date").filter("tm_id <> ''")
@@ -202,12 +217,14 @@ def all_document_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("variant_jaccard", "SET09", sql="""
-WITH k AS (SELECT DISTINCT archive_key, team FROM (SELECT archive_key, unnest(string_split(lower(strip_accents(canonical_name)), ' ')) AS team FROM canonical_persons)),
-s AS (SELECT archive_key, list(team) AS l FROM k GROUP BY 1)
-SELECT a.archive_key AS a, b.archive_key AS b, round(len(list_intersect(a.l, b.l)) / len(list_distinct(list_concat(a.l, b.l))), 6)::DOUBLE AS jac FROM s a JOIN s b ON a.archive_key = 'arch00000001' AND b.archive_key <> a.archive_key""")
+WITH k AS (SELECT DISTINCT archive_key, w FROM (SELECT archive_key, unnest(string_split(lower(strip_accents(canonical_name)), ' ')) AS w FROM canonical_persons WHERE archive_key IS NOT NULL)),
+s AS (SELECT archive_key, count(*) AS n FROM k GROUP BY 1), p AS (SELECT a.archive_key AS a, b.archive_key AS b, count(*) AS m FROM k a JOIN k b ON a.w = b.w AND a.archive_key <> b.archive_key AND substr(a.archive_key, 5)::BIGINT % 20 = 1 GROUP BY ALL)
+SELECT a, b, round(m / (x.n + y.n - m), 6)::DOUBLE AS jac FROM p JOIN s x ON x.archive_key = a JOIN s y ON y.archive_key = b""")
 def variant_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    """One archive's vocabulary of names against every other's (a stated query set against all rows)."""
-    k = t(spark, d, "canonical_persons").filter("archive_key is not null").select("archive_key", F.explode(F.split(F.lower(fold_accents(F.col("canonical_name"))), " ")).alias("w"))
-    s = k.groupBy("archive_key").agg(F.collect_set("w").alias("l"))
-    one = s.filter("archive_key = 'arch00000001'").select(F.col("archive_key").alias("a"), F.col("l").alias("m"))
-    return s.filter("archive_key <> 'arch00000001'").join(F.broadcast(one)).select("a", F.col("archive_key").alias("b"), r(jaccard(F.col("l"), F.col("m"))).alias("jac"))
+    """The vocabulary of names of every twentieth archive against every other's that shares a word with it."""
+    k = t(spark, d, "canonical_persons").filter("archive_key is not null").select("archive_key", F.explode(F.split(F.lower(fold_accents(F.col("canonical_name"))), " ")).alias("w")).distinct()
+    n = k.groupBy("archive_key").agg(F.count("*").alias("n"))
+    q = k.filter(F.substring("archive_key", 5, 20).cast("bigint") % 20 == 1).withColumnRenamed("archive_key", "a")
+    p = q.join(k.withColumnRenamed("archive_key", "b"), "w").filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("m"))
+    p = p.join(n.select(F.col("archive_key").alias("a"), F.col("n").alias("x")), "a").join(n.select(F.col("archive_key").alias("b"), F.col("n").alias("y")), "b")
+    return p.select("a", "b", r(F.col("m") / (F.col("x") + F.col("y") - F.col("m"))).alias("jac"))

@@ -45,7 +45,7 @@ def bankroll_strategies(spark: SparkSession, d: str) -> DataFrame:
     return rounded(sims.groupBy("strategy").agg(F.count("*").alias("n"), F.median("final").alias("median_final"), F.percentile("final", F.lit(0.05)).alias("p05"), F.avg(F.col("ruined").cast("int")).alias("ruin_rate")), 4)
 
 
-@query("markov_generated", "SIM04", "STR14")
+@query("markov_generated", "STR14")
 def markov_generated(spark: SparkSession, d: str) -> DataFrame:
     from weftline.functions.text import rejoin, words
     from weftline.operators.sequences import ngrams
@@ -77,7 +77,7 @@ def ols_slope(spark: SparkSession, d: str) -> DataFrame:
     return rounded(p.agg(F.count("*").alias("n"), F.regr_slope("prob_home_f10", "home_opp_ppg").alias("slope"), F.regr_intercept("prob_home_f10", "home_opp_ppg").alias("intercept"), F.regr_r2("prob_home_f10", "home_opp_ppg").alias("r2")))
 
 
-@query("gbt_scores", "ML01", "SNK11")
+@query("gbt_scores", "ML01")
 def gbt_scores(spark: SparkSession, d: str) -> DataFrame:
     f = S.holdout(_frame(spark, d), "prediction_id", 0.3, 1)
     m = M.make_model("gbt_class", _FEATURES, "y").fit(f.filter("part = 'train'"))

@@ -30,7 +30,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nodes(spark, sf_dir, body=False).select("fetch_no", "node_path")
 
 
-@query("p2_plays")
+@query("p2_plays", sql="""
+WITH w AS (SELECT fetch_no, payload FROM season_pbp_2026 WHERE payload IS NOT NULL AND payload <> '' AND json_valid(payload)),
+p AS (SELECT fetch_no, e.key::INTEGER AS k, e.value AS j FROM w, json_each(payload, '$.plays') e WHERE json_type(payload, '$.plays') = 'ARRAY' AND json_type(e.value) = 'OBJECT')
+SELECT fetch_no, 'plays[' || k || ']' AS node_path, k AS play_no, j->>'$.id' AS play_id, j->>'$.text' AS text, CASE WHEN json_type(j, '$.scoringPlay') = 'BOOLEAN' THEN (j->>'$.scoringPlay')::BOOLEAN END AS scoring_play,
+  try_cast(j->>'$.scoreValue' AS INTEGER) AS score_value, try_cast(j->>'$.homeScore' AS INTEGER) AS home_score, try_cast(j->>'$.awayScore' AS INTEGER) AS away_score, try_cast(j->>'$.team.id' AS BIGINT) AS team_id, try_cast(j->>'$.period.number' AS INTEGER) AS period FROM p""")
 def p2_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat table of plays; types that change between fetches are read as text and cast where they can be."""
     schema = "id string, sequenceNumber string, text string, scoringPlay boolean, scoreValue string, homeScore string, awayScore string, team struct<id:string>, period struct<number:string>"
@@ -48,7 +52,9 @@ def p2_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("p2_tables")
+@query("p2_tables", sql=f"""
+SELECT regexp_replace(node_path, '\\[[0-9]+\\]', '', 'g') AS array_path, count(*) AS n_rows, count_if(length(node_path) - length(replace(node_path, '[', '')) > 1) AS n_linked,
+  max(regexp_extract(node_path, '\\[([0-9]+)\\]$', 1)::INTEGER) AS last_elem_no FROM ({P2_SQL}) GROUP BY 1""")
 def p2_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every flat table there is, with the rows it has and the rows whose parent is itself a row."""
     return (

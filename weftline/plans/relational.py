@@ -11,7 +11,7 @@ from weftline.plans._util import r, rounded, t
 # -- team-like statistics: suppliers as teams, orders as games ------------------------------------------------------------
 
 
-@query("matchup_features", "PRJ01", "PRJ02", "PRJ08", "PRJ10", "JON03", "JON04", "JON19", "ARR04", sql="""
+@query("matchup_features", "PRJ08", "PRJ10", "JON03", "JON04", "ARR04", sql="""
 SELECT p.prediction_id, coalesce(h.avg_pts, 70.0) AS home_pts, coalesce(a.avg_pts, 70.0) AS away_pts, round(coalesce(h.avg_pts, 70.0) - coalesce(a.avg_pts, 70.0), 6) AS diff,
   round(coalesce(h.avg_pts, 70.0) + coalesce(a.avg_pts, 70.0), 6) AS total,
   CASE WHEN coalesce(a.avg_pts, 70.0) = 0 THEN 0.5 ELSE round(coalesce(h.avg_pts, 70.0) / (coalesce(h.avg_pts, 70.0) + coalesce(a.avg_pts, 70.0)), 6) END AS share,
@@ -27,7 +27,7 @@ def matchup_features(spark: SparkSession, d: str) -> DataFrame:
     return rounded(p.select("prediction_id", "home_pts", "away_pts", (h - a).alias("diff"), (h + a).alias("total"), F.when(a == 0, 0.5).otherwise(h / (h + a)).alias("share"), "home_source"))
 
 
-@query("mirror_augment", "PRJ03", "PRJ04", sql="""
+@query("mirror_augment", "PRJ03", sql="""
 WITH b AS (SELECT prediction_id, home_opp_ppg AS h, away_opp_ppg AS a, round(home_opp_ppg - away_opp_ppg, 6) AS diff, prob_home_f10 AS p FROM predictions_2026)
 SELECT prediction_id, h, a, diff, p, false AS mirrored FROM b UNION ALL SELECT prediction_id, a, h, -diff, 1 - p, true FROM b""")
 def mirror_augment(spark: SparkSession, d: str) -> DataFrame:
@@ -142,7 +142,7 @@ def bridge_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return _bridge(spark, d)[1]
 
 
-@query("enrich_fill", "JON13", "SRC27", sql="""
+@query("enrich_fill", "JON13", sql="""
 WITH h AS (SELECT hgv_id, arg_max(place, row_no) AS p FROM papyri_documents WHERE hgv_id IS NOT NULL AND place IS NOT NULL AND trim(place) <> '' GROUP BY 1)
 SELECT row_no, coalesce(nullif(trim(place), ''), p) AS filled, coalesce(p, nullif(trim(place), '')) AS overridden FROM papyri_documents d LEFT JOIN h USING (hgv_id)""")
 def enrich_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -165,7 +165,7 @@ def anti_join(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "customer").select("c_custkey").join(rich, "c_custkey", "left_anti")
 
 
-@query("nested_export", "JON16", "SNK05", "SNK04", "PRJ09", sql="""
+@query("nested_export", "JON16", sql="""
 WITH k AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS l, count(*) AS n FROM orders GROUP BY 1)
 SELECT c_custkey AS id, coalesce(n, 0)::BIGINT AS n_children, coalesce(array_to_string(l, ','), '') AS children FROM customer LEFT JOIN k ON o_custkey = c_custkey""")
 def nested_export(spark: SparkSession, d: str) -> DataFrame:
@@ -183,7 +183,7 @@ def substring_match(spark: SparkSession, d: str) -> DataFrame:
     return R.contains_match(t(spark, d, "team_stats_2026"), t(spark, d, "book_teams"), "team_name", "listed_name")
 
 
-@query("cascade_match", "JON18", "STR19", "JON26", sql="""
+@query("cascade_match", "JON18", "STR19", sql="""
 WITH b AS (SELECT book_team_id, lower(listed_name) AS k, lower(split_part(trim(listed_name), ' ', 1)) AS w FROM book_teams),
 e AS (SELECT lower(team_name) AS k, min(team_id) AS v FROM team_stats_2026 GROUP BY 1), f AS (SELECT lower(split_part(trim(team_name), ' ', 1)) AS w, min(team_id) AS v FROM team_stats_2026 GROUP BY 1)
 SELECT book_team_id, coalesce(e.v, f.v) AS v, CASE WHEN e.v IS NOT NULL THEN 'exact' WHEN f.v IS NOT NULL THEN 'first word' END AS matched_by FROM b LEFT JOIN e USING (k) LEFT JOIN f USING (w)""")
@@ -197,7 +197,7 @@ def cascade_match(spark: SparkSession, d: str) -> DataFrame:
     return R.cascade(b, "k", [("exact", exact), ("first word", by_word)], "v").select("book_team_id", "v", "matched_by")
 
 
-@query("weighted_composite", "JON23", "AGG21", "JON24", "MTH05", sql="""
+@query("weighted_composite", "JON23", "AGG21", sql="""
 WITH w(p_brand, w) AS (VALUES ('Brand#11', 0.5), ('Brand#12', 0.3), ('Brand#13', 0.2)), s AS (SELECT p_size, p_brand, avg(p_retailprice) AS x FROM part GROUP BY ALL)
 SELECT p_size, round(sum(x * w::DOUBLE) / sum(w::DOUBLE), 4) AS score, count(*) AS n_parts FROM s JOIN w USING (p_brand) GROUP BY 1""")
 def weighted_composite(spark: SparkSession, d: str) -> DataFrame:
@@ -262,7 +262,7 @@ def auc_rank(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rank_auc(b, "s", "y"))
 
 
-@query("round_reach", "AGG33", "AGG36", sql="""
+@query("round_reach", "AGG36", sql="""
 WITH c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), k AS (SELECT n, count(*) AS customers FROM c GROUP BY 1)
 SELECT n, customers, round(customers / (SELECT sum(customers) FROM k)::DOUBLE, 6) AS share, n = (SELECT arg_min(n, (-customers, n)) FROM k) AS modal FROM k""")
 def round_reach(spark: SparkSession, d: str) -> DataFrame:
@@ -295,7 +295,7 @@ def last_wins_dedup(spark: SparkSession, d: str) -> DataFrame:
     return R.keep_last(t(spark, d, "season_pbp_2026").select("game_id", "fetch_no", F.length("payload").alias("size")), ["game_id"], ["fetch_no"])
 
 
-@query("priority_union", "SET01", "SET04", "SET08", "SET11", "JON25", sql="""
+@query("priority_union", "SET01", "SET04", "SET08", sql="""
 WITH u AS (SELECT team_name AS k, 0 AS src FROM team_stats_2026 UNION ALL SELECT listed_name, 1 FROM book_teams UNION ALL SELECT home_team, 2 FROM predictions_2026)
 SELECT k, min(src)::INTEGER AS src FROM u GROUP BY 1""")
 def priority_union(spark: SparkSession, d: str) -> DataFrame:
@@ -326,7 +326,7 @@ def status_order(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "orders").withColumn("rn", rn).filter("rn <= 10").select("o_orderstatus", "o_orderkey", "rn", prio.alias("prio")).orderBy("prio", "rn")
 
 
-@query("display_cells", "PRJ06", "PRJ07", "STR17", "SNK12", sql="""
+@query("display_cells", "PRJ06", "PRJ07", sql="""
 SELECT team_id, coalesce(printf('%.2f', avg_pts), '') AS avg_pts, coalesce(printf('%+.5f', pace_ratio), '') AS pace_ratio, coalesce(team_name, '') AS team_name FROM team_stats_2026""")
 def display_cells(spark: SparkSession, d: str) -> DataFrame:
     s = R.reorder(t(spark, d, "team_stats_2026"), ["team_id", "avg_pts", "pace_ratio", "team_name"])
@@ -343,7 +343,7 @@ def cross_ref_keys(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "papyri_documents").select("row_no", F.explode(m).alias("k", "v")).select("row_no", "k", F.array_join("v", ";").alias("ids"))
 
 
-@query("nested_lookup", "ARR02", "ARR04", "ARR07", "ARR10", "EXT15", sql="""
+@query("nested_lookup", "ARR04", "ARR07", "EXT15", sql="""
 SELECT fetch_no, payload IS NOT NULL AND payload <> '' AND json_valid(payload) AS whole,
   CASE WHEN payload <> '' AND json_valid(payload) THEN coalesce(payload->>'$.header.id', 'none') ELSE 'none' END AS header_id
 FROM season_pbp_2026""")
@@ -353,7 +353,7 @@ def nested_lookup(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "season_pbp_2026").select("fetch_no", whole.alias("whole"), got.alias("header_id"))
 
 
-@query("event_props", "ARR01", "ARR08", "ARR09", "EXT15", sql="""
+@query("event_props", "ARR01", "ARR08", "EXT15", sql="""
 SELECT event_type, count(*) AS n, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS sum_k FROM events GROUP BY 1""")
 def event_props(spark: SparkSession, d: str) -> DataFrame:
     k = F.from_json("props", "k bigint")["k"]
@@ -369,7 +369,7 @@ def members_unpivot(spark: SparkSession, d: str) -> DataFrame:
 # -- scores and odds --------------------------------------------------------------------------------------------------------------
 
 
-@query("score_maps", "MTH01", "MTH02", "MTH03", "MTH04", "MTH06", "MTH11", "MTH12", "MTH17", sql="""
+@query("score_maps", "MTH01", "MTH02", "MTH03", "MTH06", sql="""
 SELECT event_id, round(least(100, greatest(0, 100 - 0.6 * value)), 6)::DOUBLE AS line, round(least(100, greatest(0, CASE WHEN value <= 20 THEN 100 - value WHEN value <= 80 THEN 90 - 0.5 * value ELSE 40 - 0.1 * value END)), 6)::DOUBLE AS pieces,
   CASE WHEN value >= 90 THEN 'A' WHEN value >= 75 THEN 'B' WHEN value >= 60 THEN 'C' ELSE 'F' END AS grade, round((value - 0.01) / (490.02 - 0.01), 6) AS share FROM events""")
 def score_maps(spark: SparkSession, d: str) -> DataFrame:
@@ -379,7 +379,7 @@ def score_maps(spark: SparkSession, d: str) -> DataFrame:
         scores.grade(v, [(90, "A"), (75, "B"), (60, "C")], "F").alias("grade"), scores.share_between(v, 0.01, 490.02).alias("share")))
 
 
-@query("odds_table", "MTH07", "MTH08", "MTH09", "MTH10", "SIM03", sql="""
+@query("odds_table", "MTH08", "MTH09", "MTH10", "SIM03", sql="""
 WITH b AS (SELECT prediction_id, prob_home_f10 AS p, CASE WHEN edge_pct > 10 THEN -110 ELSE 150 END AS odds FROM predictions_2026 WHERE prob_home_f10 IS NOT NULL),
 q AS (SELECT *, CASE WHEN odds > 0 THEN 1 + odds / 100.0 ELSE 1 + 100.0 / abs(odds) END::DOUBLE AS dec FROM b)
 SELECT prediction_id, round(dec, 6) AS dec, round(CASE WHEN odds > 0 THEN 100.0 / (odds + 100) ELSE abs(odds) / (abs(odds) + 100.0) END, 6)::DOUBLE AS implied,

@@ -9,7 +9,7 @@ from weftline.operators import series as S
 from weftline.plans._util import DAILY, daily, hourly_pair, pair_sql, r, rounded, t
 
 
-@query("hourly_series", "AGG17", "DT01", "SRC08", sql="""
+@query("hourly_series", "AGG17", "DT01", sql="""
 SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, event_type, count(*) AS n, round(avg(value), 9) AS mean_value, round(sum(value), 4) AS total
 FROM events GROUP BY ALL""")
 def hourly_series(spark: SparkSession, d: str) -> DataFrame:
@@ -201,7 +201,7 @@ def _months(spark: SparkSession, d: str) -> DataFrame:
     return S.month_last(t(spark, d, "orders").select("o_orderdate", "o_orderkey", "o_totalprice"), "o_orderdate", "o_orderkey", "o_totalprice").withColumnRenamed("o_totalprice", "v")
 
 
-@query("month_end_resample", "AGG20", "SRC02", sql=f"""
+@query("month_end_resample", "AGG20", sql=f"""
 WITH {_MONTHS}, s AS (SELECT last_day(unnest(generate_series(date_trunc('month', (SELECT min(month_end) FROM m)), (SELECT max(month_end) FROM m)::TIMESTAMP, INTERVAL 1 MONTH)))::DATE AS month_end)
 SELECT month_end, round(v, 6) AS v FROM s LEFT JOIN m USING (month_end)""")
 def month_end_resample(spark: SparkSession, d: str) -> DataFrame:
@@ -236,7 +236,7 @@ def decline_streaks(spark: SparkSession, d: str) -> DataFrame:
     return rounded(S.streaks(_months(spark, d), "month_end", "v"), 4)
 
 
-@query("monthly_spine", "JON12", "DT09", "AGG19", "FIL17", sql="""
+@query("monthly_spine", "JON12", "DT09", sql="""
 WITH s AS (SELECT unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '1996-12-01', INTERVAL 1 MONTH))::DATE AS month),
 u AS (SELECT date_trunc('month', o_orderdate)::DATE AS month, avg(o_totalprice) AS urgent FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1),
 f AS (SELECT date_trunc('month', o_orderdate)::DATE AS month, avg(o_totalprice) AS open_price FROM orders WHERE o_orderstatus = 'O' GROUP BY 1),
@@ -261,7 +261,7 @@ def yoy_same_period(spark: SparkSession, d: str) -> DataFrame:
     return rounded(m.join(past, ["y", "p"]).select("y", "p", "v", (F.col("v") - F.col("w")).alias("yoy")), 4)
 
 
-@query("trend_first_last", "WIN21", "WIN26", "STM07", sql=f"""
+@query("trend_first_last", "WIN21", "WIN26", sql=f"""
 WITH {_MONTHS}, e AS (SELECT arg_min(v, month_end) AS f, arg_max(v, month_end) AS l, min(v) AS a, max(v) AS b FROM m), q AS (SELECT *, row_number() OVER (ORDER BY month_end DESC) AS back FROM m)
 SELECT month_end, floor((v - a) / (b - a) * 7 + 0.5)::INTEGER AS level, substr('▁▂▃▄▅▆▇█', floor((v - a) / (b - a) * 7 + 0.5)::INTEGER + 1, 1) AS glyph, round(l - f, 4) AS delta
 FROM q, e WHERE back <= 40""")
@@ -281,7 +281,7 @@ def rate_budget(spark: SparkSession, d: str) -> DataFrame:
     return S.budget_load(e, "ts", "value", 3600).select("event_id", r("spent", 4).alias("spent"))
 
 
-@query("trailing_days", "WIN24", "DT07", "DT08", "STM04", sql="""
+@query("trailing_days", "WIN24", "DT07", "DT08", sql="""
 WITH s AS (SELECT unnest(generate_series(DATE '2024-01-28' - 2, DATE '2024-01-28', INTERVAL 1 DAY))::DATE AS day)
 SELECT day, (SELECT count(*) FROM events WHERE ts::DATE = day) AS n FROM s""")
 def trailing_days(spark: SparkSession, d: str) -> DataFrame:

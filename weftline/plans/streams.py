@@ -1,7 +1,5 @@
 """Streams drained over what there is, beside their batch twins."""
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +14,7 @@ from weftline.streaming import machines as M
 def _folder(spark: SparkSession) -> str:
     """A fresh folder beside the checkpoints: shared on a cluster, local in tests."""
     ensure_checkpoint_dir(spark)
-    base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return f"{base}/streams-{uuid.uuid4().hex}" if base else os.path.join(tempfile.gettempdir(), uuid.uuid4().hex)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/streams-{uuid.uuid4().hex}"
 
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
@@ -61,7 +58,7 @@ def stream_session_twin(spark: SparkSession, d: str) -> DataFrame:
     return s.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n")
 
 
-@query("stream_cycles", "STM01", "STM02", "STM04")
+@query("stream_cycles", "STM01", "STM02")
 def stream_cycles(spark: SparkSession, d: str) -> DataFrame:
     """Finished cycles of every device from the stateful stream."""
     return M.drain(M.cycles_stream(_stream(spark, d), "user_id", "ts", "value", 100.0, 30.0, 3600.0), _folder(spark), "cycles")
@@ -73,23 +70,37 @@ def batch_cycles(spark: SparkSession, d: str) -> DataFrame:
     return M.cycles_batch(t(spark, d, "events"), "user_id", "ts", "value", 100.0, 30.0, 3600.0)
 
 
-@query("stream_first_to_ten", "STM03")
+@query("stream_first_to_ten", "STM03", sql="""
+WITH k AS (SELECT user_id, event_type, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts) AS n FROM events)
+SELECT user_id::VARCHAR AS game, arg_min(event_type, ts) AS winner FROM k WHERE n = 10 GROUP BY 1""")
 def stream_first_to_ten(spark: SparkSession, d: str) -> DataFrame:
     """The kind of event that a user first has ten of, emitted as soon as it is known."""
     s = _stream(spark, d).withColumn("one", F.lit(1.0))
     return M.drain(M.crossing_stream(s, "user_id", "event_type", "one", "ts", 10.0), _folder(spark), "race")
 
 
-@query("stream_static_join", "EXT17", "STM05")
+@query("stream_static_join", "EXT17", "STM05", sql="""
+SELECT event_id, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 3 END AS kind, ts::DATE < DATE '2024-01-15' AS is_late FROM events""")
 def stream_static_join(spark: SparkSession, d: str) -> DataFrame:
-    """A stream joined to a small table, late rows labelled and kept."""
+    """A stream joined to a small table (kinds that it lacks stay null), late rows labelled and kept."""
     kinds = spark.createDataFrame([("click", 1), ("view", 2), ("purchase", 3)], "event_type string, kind int")
-    j = _stream(spark, d).join(F.broadcast(kinds), "event_type").withColumn("ts", F.col("ts").cast("timestamp"))
+    j = _stream(spark, d).join(F.broadcast(kinds), "event_type", "left").withColumn("ts", F.col("ts").cast("timestamp"))
     late = M.label_late(j, F.to_date("ts"), F.lit("2024-01-15").cast("date"))
     return M.drain(late.select("event_id", "kind", "is_late"), _folder(spark), "joined")
 
 
-@query("stream_dedup", "EXT17")
+@query("stream_stream_join", "EXT17", sql="""
+SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'purchase' AND b.event_type = 'click' AND b.ts BETWEEN a.ts - INTERVAL 2 HOUR AND a.ts""")
+def stream_stream_join(spark: SparkSession, d: str) -> DataFrame:
+    """Purchases met with the clicks of the two hours before, both as streams; watermarks bound the state on either side."""
+    side = lambda kind, i, at: (
+        _stream(spark, d).filter(F.col("event_type") == kind).select(F.col("event_id").alias(i), F.col("user_id").alias(f"u{i}"), F.col("ts").cast("timestamp").alias(at)).withWatermark(at, "1 day")
+    )
+    j = side("purchase", "a", "at").join(side("click", "b", "bt"), F.expr("ua = ub AND bt <= at AND bt >= at - interval 2 hours"))
+    return M.drain(j.select("a", "b"), _folder(spark), "both")
+
+
+@query("stream_dedup", "EXT17", sql="SELECT event_id, any_value(event_type) AS event_type FROM events GROUP BY 1")
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     """One row per event id within the watermark."""
     s = _stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["event_id"])

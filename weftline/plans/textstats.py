@@ -242,24 +242,24 @@ def place_normalised(spark: SparkSession, d: str) -> DataFrame:
     return k.groupBy(X.drop_remark(F.col("place")).alias("place")).agg(F.count("*").alias("n"))
 
 
-_FOLD = rf"translate(regexp_replace({{}}, '\p{{{{Mn}}}}', '', 'g'), '{X.FOLD_FROM}', '{X.FOLD_TO}')"
+FOLD_SQL = rf"translate(regexp_replace({{}}, '\p{{{{Mn}}}}', '', 'g'), '{X.FOLD_FROM}', '{X.FOLD_TO}')"
 
 
-@query("accent_fold", "STR04", sql=f"SELECT DISTINCT our_name, replace(lower({_FOLD.format('our_name')}), 'ς', 'σ') AS folded FROM trismegistos_matches_top50 WHERE our_name IS NOT NULL")
+@query("accent_fold", "STR04", sql=f"SELECT DISTINCT our_name, replace(lower({FOLD_SQL.format('our_name')}), 'ς', 'σ') AS folded FROM trismegistos_matches_top50 WHERE our_name IS NOT NULL")
 def accent_fold(spark: SparkSession, d: str) -> DataFrame:
     k = t(spark, d, "trismegistos_matches_top50").select("our_name").filter("our_name is not null").distinct()
     return k.select("our_name", F.replace(F.lower(X.fold_accents(F.col("our_name"))), F.lit("ς"), F.lit("σ")).alias("folded"))
 
 
-def _endings() -> str:
+def endings_sql() -> str:
     """The rule of the nominative as SQL: the first ending that leaves four letters decides."""
     fits = "WHEN suffix(w, '{o}') AND length(w) - {a} + {b} >= 4 THEN left(w, length(w) - {a}) || '{n}'"
     return "CASE " + " ".join(fits.format(o=o, n=n, a=len(o), b=len(n)) for n, olds in X.DECLENSIONS.items() for o in olds) + " ELSE w END"
 
 
 @query("stem_suffix", "STR05", "STR06", sql=f"""
-WITH k AS (SELECT DISTINCT regexp_replace(x, 'σ$', 'ς') AS w FROM (SELECT unnest(string_split(lower({_FOLD.format('our_name')}), ' ')) AS x FROM trismegistos_matches_top50))
-SELECT w, {_endings()} AS nominative FROM k WHERE length(w) > 1""")
+WITH k AS (SELECT DISTINCT regexp_replace(x, 'σ$', 'ς') AS w FROM (SELECT unnest(string_split(lower({FOLD_SQL.format('our_name')}), ' ')) AS x FROM trismegistos_matches_top50))
+SELECT w, {endings_sql()} AS nominative FROM k WHERE length(w) > 1""")
 def stem_suffix(spark: SparkSession, d: str) -> DataFrame:
     k = t(spark, d, "trismegistos_matches_top50").filter("our_name is not null")
     w = k.select(F.explode(F.split(F.lower(X.fold_accents(F.col("our_name"))), " ")).alias("x")).select(F.regexp_replace("x", "σ$", "ς").alias("w")).distinct()
