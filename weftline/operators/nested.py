@@ -24,6 +24,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,9 +96,10 @@ class Index:
         if len(escaped):
             wrong = ~_ESCAPES[buf[escaped]] | ~within[escaped]
             bad[np.unique(doc_of(escaped[wrong]))] = True
-            for u in escaped[buf[escaped] == 117][:, None] + np.arange(1, 5) if (buf[escaped] == 117).any() else ():
-                if u[-1] >= len(buf) or not _HEX[buf[u]].all():
-                    bad[doc_of(u[0])] = True
+            u = escaped[buf[escaped] == 117]
+            if len(u):  # four hexadecimal digits must follow
+                four = np.minimum(u[:, None] + np.arange(1, 5), len(buf) - 1)
+                bad[np.unique(doc_of(u[~_HEX[buf[four]].all(axis=1)]))] = True
         control = np.flatnonzero((buf < 32) & within)
         if len(control):
             bad[np.unique(doc_of(control))] = True
@@ -229,11 +231,11 @@ def index_nodes(texts: Sequence[bytes], lone: frozenset[str] = frozenset(), embe
 
 
 def _nodes(ix: Index, owner: np.ndarray, lone: frozenset[str], embedded: frozenset[str], prefixes):
+    """Paths are joined level by level in Arrow: a token's path is its container's, taken once, and a key or a position."""
     opens = np.flatnonzero((ix.kind == _OPEN_O) | (ix.kind == _OPEN_A))
     if len(opens) == 0:
         return
     n = len(ix.kind)
-    at_key = np.flatnonzero(ix.is_key)
     # the key of a value inside an object is the token two before it (key, colon, value)
     valued = np.zeros(n, dtype=bool)
     valued[opens] = True
@@ -241,65 +243,90 @@ def _nodes(ix: Index, owner: np.ndarray, lone: frozenset[str], embedded: frozens
         valued |= (ix.kind == _STR) & ~ix.is_key
     idx = np.flatnonzero(valued)
     in_obj = (ix.container[idx] >= 0) & (ix.kind[ix.container[idx]] == _OPEN_O)
-    keys = np.full(n, None, dtype=object)
-    key_tok = idx[in_obj] - 2
-    keys[idx[in_obj]] = _strings(ix, key_tok) if len(key_tok) else []
-    del at_key
+    keyed = idx[in_obj]
+    keys = pa.array(_strings(ix, keyed - 2) if len(keyed) else [], pa.string())
+    key_at = np.full(n, -1, dtype=np.int64)
+    key_at[keyed] = np.arange(len(keyed))
+    named = lambda names: keyed[pc.is_in(keys, pa.array(sorted(names), pa.string())).to_numpy(zero_copy_only=False)] if len(keyed) else keyed
+    alone = np.zeros(n, dtype=bool)
+    if lone:
+        alone[named(lone)] = True
+        alone &= ix.kind == _OPEN_O
+    cand = np.zeros(n, dtype=bool)
+    if embedded:
+        cand[named(embedded)] = True
+        cand &= ix.kind == _STR
     # the position of an element is the number of commas before it in its array
     comma = np.flatnonzero(ix.kind == _COMMA)
     box = ix.container[comma]
     order = np.lexsort((comma, box))
     comma, box = comma[order], box[order]
-    elem = np.full(n, -1, dtype=np.int64)
+    elem = np.zeros(n, dtype=np.int64)
     in_arr = idx[(ix.container[idx] >= 0) & ~in_obj]
     c = ix.container[in_arr]
     span = np.int64(n + 1)
     elem[in_arr] = np.searchsorted(box * span + comma, c * span + in_arr) - np.searchsorted(box, c)
+    places = pa.array([f"[{i}]" for i in range(int(elem.max()) + 1 if len(in_arr) else 0)], pa.string())
 
-    path = np.full(n, "", dtype=object)
-    array = np.full(n, "", dtype=object)
-    parent = np.full(n, None, dtype=object)  # path of the nearest enclosing node
     emit = np.zeros(n, dtype=bool)
+    emit[in_arr] = ix.kind[in_arr] == _OPEN_O
+    emit |= alone
+    slot = np.zeros(n, dtype=np.int64)  # where a token's texts lie among those of its level
+    empty, none, dot = pa.scalar(""), pa.scalar(None, pa.string()), pa.scalar(".")
+    got, embeds = [], []
+    path = array = parent = None
     for d in np.unique(ix.level[idx]):
         own = idx[ix.level[idx] == d]
         up = ix.container[own]
-        root = up < 0
-        if prefixes is not None:
-            path[own[root]] = [prefixes[x] for x in ix.doc[own[root]]]
-            array[own[root]] = [re.sub(r"\[\d+\]", "", prefixes[x]) for x in ix.doc[own[root]]]
-            pre = [_enclosing(prefixes[x]) for x in ix.doc[own[root]]]
-            parent[own[root]] = np.array([*pre, None], dtype=object)[:-1]
-        sub = own[~root]
-        up = up[~root]
-        obj = ix.kind[up] == _OPEN_O
-        a, b = sub[obj], up[obj]
-        path[a] = [f"{p}.{k}" if p else k for p, k in zip(path[b], keys[a])]
-        array[a] = [f"{p}.{k}" if p else k for p, k in zip(array[b], keys[a])]
-        parent[a] = np.where(emit[b], path[b], parent[b])
-        if lone:
-            alone = a[np.array([k in lone for k in keys[a]], dtype=bool) & (ix.kind[a] == _OPEN_O)] if len(a) else a
-            path[alone] += "[0]"
-            elem[alone] = 0
-            emit[alone] = True
-        a, b = sub[~obj], up[~obj]
-        path[a] = [f"{p}[{i}]" for p, i in zip(path[b], elem[a].tolist())]
-        array[a] = array[b]
-        parent[a] = np.where(emit[b], path[b], parent[b])
-        emit[a[ix.kind[a] == _OPEN_O]] = True
-    node = np.flatnonzero(emit)
+        if up[0] < 0:  # tokens without a container are all there is on the first level
+            if prefixes is None:
+                path = array = pa.array([""] * len(own), pa.string())
+                parent = pa.nulls(len(own), pa.string())
+            else:
+                pre = [prefixes[x] for x in ix.doc[own]]
+                path, array = pa.array(pre, pa.string()), pa.array([re.sub(r"\[\d+\]", "", x) for x in pre], pa.string())
+                parent = pa.array([_enclosing(x) for x in pre], pa.string())
+        else:
+            at = pa.array(slot[up])
+            over, kinds = path.take(at), array.take(at)
+            parent = pc.if_else(pa.array(emit[up]), over, parent.take(at))
+            obj = ix.kind[up] == _OPEN_O
+            is_obj = pa.array(obj)
+            key = keys.take(pa.array(key_at[own], mask=~obj))
+            tail = pc.coalesce(key, places.take(pa.array(elem[own], mask=obj))) if len(places) else key
+            join = lambda x, y: pc.binary_join_element_wise(x, pc.if_else(pc.and_(is_obj, pc.not_equal(x, empty)), dot, empty), y, "")  # noqa: B023, E731
+            path = join(over, tail)
+            if alone[own].any():
+                path = pc.binary_join_element_wise(path, pc.if_else(pa.array(alone[own]), pa.scalar("[0]"), empty), "")
+            array = pc.if_else(is_obj, join(kinds, pc.coalesce(key, empty)), kinds)
+        slot[own] = np.arange(len(own))
+        keep = np.flatnonzero(emit[own])
+        if len(keep):
+            k = pa.array(keep)
+            got.append((own[keep], path.take(k), parent.take(k), array.take(k)))
+        if embedded and cand[own].any():
+            k = np.flatnonzero(cand[own])
+            embeds.append((own[k], path.take(pa.array(k)).to_pylist()))
+    if got:
+        node = np.concatenate([x[0] for x in got])
+        order = np.argsort(node, kind="stable")
+        node = node[order]
+        text = [pa.concat_arrays([x[i] for x in got]).take(pa.array(order)) for i in (1, 2, 3)]
+    else:
+        node, text = np.empty(0, dtype=np.int64), [pa.array([], pa.string())] * 3
     closer = np.full(n, -1, dtype=np.int64)
     done = np.flatnonzero(ix.match >= 0)
     closer[ix.match[done]] = done
     yield ix, {
-        "doc": owner[ix.doc[node]], "path": path[node], "array": array[node], "parent": parent[node], "elem": elem[node],
+        "doc": owner[ix.doc[node]], "path": text[0], "parent": text[1], "array": text[2], "elem": elem[node],
         "begin": ix.place[node], "end": ix.place[closer[node]] + 1,
     }
-    if embedded:
-        cand = idx[(ix.kind[idx] == _STR) & in_obj]
-        cand = cand[np.array([k in embedded for k in keys[cand]], dtype=bool)] if len(cand) else cand
-        if len(cand):
-            inner = [s.encode("utf-8", "surrogatepass") for s in _strings(ix, cand)]
-            yield from _nodes(Index(inner), owner[ix.doc[cand]], lone, embedded, list(path[cand]))
+    if embeds:
+        held = np.concatenate([x[0] for x in embeds])
+        order = np.argsort(held, kind="stable")
+        under = [p for x in embeds for p in x[1]]
+        inner = [s.encode("utf-8", "surrogatepass") for s in _strings(ix, held[order])]
+        yield from _nodes(Index(inner), owner[ix.doc[held[order]]], lone, embedded, [under[i] for i in order])
 
 
 def _enclosing(path: str) -> str | None:
@@ -341,8 +368,7 @@ def flatten_json(
         for ix, cols in index_nodes(texts, lone_, embedded_):
             if len(cols["doc"]) == 0:
                 continue
-            out = [ids.take(pa.array(cols["doc"])), pa.array(cols["path"], pa.string()), pa.array(cols["parent"], pa.string()),
-                   pa.array(cols["array"], pa.string()), pa.array(cols["elem"].astype(np.int32))]
+            out = [ids.take(pa.array(cols["doc"])), cols["path"], cols["parent"], cols["array"], pa.array(cols["elem"].astype(np.int32))]
             if body:
                 raw = ix.buf.tobytes()
                 out.append(pa.array([raw[x:y].decode("utf-8", "replace") for x, y in zip(cols["begin"].tolist(), cols["end"].tolist())], pa.string()))
