@@ -49,7 +49,7 @@ def brute(text, lone=("participants",), embedded=("boxscore",)):
 def paths(texts):
     got = [[] for _ in texts]
     for _, c in index_nodes([t.encode("utf-8", "surrogatepass") for t in texts], frozenset(["participants"]), frozenset(["boxscore"])):
-        for d, p in zip(c["doc"], c["path"]):
+        for d, p in zip(c["doc"], c["path"].to_pylist()):
             got[d].append(p)
     return got
 
