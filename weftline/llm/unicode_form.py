@@ -14,7 +14,8 @@ Defined results
 ---------------
 * null stays null, the empty text stays empty; a text of invisible characters only becomes empty;
 * case, missing accents and misspellings are left alone; line ends and tabs are kept;
-* a word made only of letters with doubles takes the script that leads in the rest of the text;
+* a word made only of Cyrillic letters with doubles takes the script that leads in the rest of the text; one made only of
+  Greek or only of Latin letters is of one script already and stays;
 * the result is a fixed point: applying the operator twice changes nothing more;
 * texts of any length are handled whole; repeated rows and extra columns have no influence.
 """
@@ -229,12 +230,14 @@ class Transducer:
 
         One pass does for all but odd cases, such as a width form whose letters join the words around it.
         """
-        for _ in range(8):
-            if text.isascii() and text.isprintable():
-                return text
+        seen = set()
+        while not (text.isascii() and text.isprintable()):
             done = self._pass(text)
             if done == text:
                 break
+            if hash(done) in seen:
+                raise RuntimeError(f"no fixed point for {text[:80]!r}")
+            seen.add(hash(done))
             text = done
         return text
 
