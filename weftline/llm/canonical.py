@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from weftline.llm.setsim import set_similarity_join
 from weftline.llm.unicode_form import bare
+from weftline.session import cut_lineage
 
 NONE = -1
 
@@ -163,9 +164,9 @@ def map_to_canonical(
                  pa.array(cols[4], pa.list_(pa.string()))], ["ref", "rctx", "variant", "kind", "toks"])
 
     distinct = values.select(F.col(value).alias("val")).filter(F.col("val").rlike(r"[^\s\p{Z}\p{C}]")).groupBy("val").agg(F.count("*").alias("_n")).select("val")
-    mine = distinct.mapInArrow(typed, "val string, spelling string, ctx string, cut boolean, toks array<string>")
+    mine = cut_lineage(distinct.mapInArrow(typed, "val string, spelling string, ctx string, cut boolean, toks array<string>"))  # parsed once
     src = ref.select(F.col(ref_id).cast("bigint"), (F.col(context) if context else F.lit(None)).cast("string"), *[F.col(n).cast("string").alias(f"n{i}") for i, n in enumerate(names)])
-    theirs = src.filter(F.col(ref_id).isNotNull()).mapInArrow(listed, "ref bigint, rctx string, variant string, kind string, toks array<string>")
+    theirs = cut_lineage(src.filter(F.col(ref_id).isNotNull()).mapInArrow(listed, "ref bigint, rctx string, variant string, kind string, toks array<string>"))
     # spellings and variants are joined as distinct strings; ids of any number may stand behind one variant
     pairs = set_similarity_join(
         mine.filter("spelling <> ''").select(F.col("spelling").alias("id"), "toks"), theirs.select(F.col("variant").alias("id"), "toks"), t
@@ -182,6 +183,6 @@ def map_to_canonical(
     )
     rank = F.struct((F.col("kind") == "cut").alias("cut"), "distance", (-F.col("jaccard")).alias("far"), "ref", "jaccard")
     best = hits.groupBy("val").agg(F.min(rank).alias("b"))
-    return distinct.join(best, "val", "left").select(
+    return mine.select("val").distinct().join(best, "val", "left").select(
         F.col("val").alias(value), F.coalesce("b.ref", F.lit(NONE)).cast("bigint").alias(ref_id), F.col("b.jaccard").alias("jaccard"), F.col("b.distance").alias("distance")
     )
