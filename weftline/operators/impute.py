@@ -136,7 +136,7 @@ def _guess_category(df: DataFrame, out: DataFrame, spec: CategoryField, period:
     hasher = FeatureHasher(inputCols=list(dims), outputCol="__wl_x", numFeatures=buckets)
     cells = df.filter(real).select(*[c.alias(n) for n, c in dims.items()], number[F.col(spec.field)].alias("label")).groupBy(*dims, "label").agg(F.count("*").cast("double").alias("w"))
     fit = LogisticRegression(
-        family="multinomial", featuresCol="__wl_x", labelCol="label", weightCol="w", regParam=ridge, standardization=False, maxIter=60, tol=1e-7,
+        family="multinomial", featuresCol="__wl_x", labelCol="label", weightCol="w", regParam=ridge, standardization=False, maxIter=25, tol=1e-4,
         predictionCol="__wl_k", rawPredictionCol="__wl_raw", probabilityCol="__wl_prob",
     )
     model = fit.fit(hasher.transform(cut_lineage(cells)))
