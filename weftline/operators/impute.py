@@ -117,8 +117,8 @@ def fit_mixed(df: DataFrame, fields: Sequence[NumericField], period: Column, swe
     mu = float(tot["s"] / tot["n"])
     groups = periods = None
     for _ in range(sweeps):
-        groups = _effects(cells, "grp", periods, "per", mu)
-        periods = _effects(cells, "per", groups, "grp", mu)
+        groups = cut_lineage(_effects(cells, "grp", periods, "per", mu))
+        periods = cut_lineage(_effects(cells, "per", groups, "grp", mu))
     return mu, groups, periods
 
 
