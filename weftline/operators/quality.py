@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 def expected_grid(spans: DataFrame, at: str, unit: str, members: DataFrame) -> DataFrame:
     """Every time of the span with every member.  The grid is what has to exist, so it is as large as the data at most."""
-    times = spans.agg(F.min(at).alias("a"), F.max(at).alias("b")).select(F.explode(F.sequence(F.date_trunc(unit, "a"), F.date_trunc(unit, "b"), F.expr(f"interval 1 {unit}"))).alias(at))
-    everyone = members.distinct().agg(F.collect_list(F.struct(*members.columns)).alias("m"))
-    return times.join(F.broadcast(everyone)).select(at, F.inline("m"))
+    span = spans.agg(F.min(at).alias("__a"), F.max(at).alias("__b"))  # one row
+    times = F.sequence(F.date_trunc(unit, "__a"), F.date_trunc(unit, "__b"), F.expr(f"interval 1 {unit}"))
+    return members.distinct().join(F.broadcast(span)).select(F.explode(times).alias(at), *members.columns)
 
 
 def gaps(expected: DataFrame, actual: DataFrame, on: Sequence[str]) -> DataFrame:

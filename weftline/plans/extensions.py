@@ -270,3 +270,21 @@ def ext_vector_search(spark: SparkSession, d: str) -> DataFrame:
         done = part if done is None else done.unionByName(part)
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), "vec_id")
     return done.withColumn("rk", F.row_number().over(w)).filter("rk <= 5 and cosine > -2").select("query_id", "vec_id", "rk", r("cosine").alias("cosine"))
+
+
+@query("ext_vector_index", "EXT20")
+def ext_vector_index(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest vectors of every vector whose id is divisible by 20, through an index over all rows."""
+    from weftline.operators.vectors import search_index
+
+    e = t(spark, d, "embeddings")
+    got = search_index(e, e.filter("vec_id % 20 = 0"), "vec_id", "embedding")
+    return got.select("query_id", F.col("id").alias("vec_id"), "rk", r("cosine").alias("cosine"))
+
+
+@query("ext_vector_recall", "EXT20", sql="SELECT count(*) * 5 AS sought, true AS enough FROM embeddings WHERE embedding IS NOT NULL AND vec_id % 20 = 0")
+def ext_vector_recall(spark: SparkSession, d: str) -> DataFrame:
+    """How much of the exact search the index finds: at least nine tenths."""
+    exact, index = ext_vector_search(spark, d).select("query_id", "vec_id"), ext_vector_index(spark, d).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    got = exact.join(index, ["query_id", "vec_id"], "left").agg(F.count("*").alias("sought"), F.count("hit").alias("found"))
+    return got.select("sought", (F.col("found") >= 0.9 * F.col("sought")).alias("enough"))

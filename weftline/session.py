@@ -19,6 +19,7 @@ def make_session(app: str = "weftline", cores: int | str = "*", shuffle_partitio
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # what no plan refers to any more is deleted
         .config("spark.driver.memory", "8g")
     )
     for k, v in conf.items():

@@ -40,8 +40,8 @@ def two_tables(parents: DataFrame, children: DataFrame, path: str, text_cols: Se
     clean = parents.withColumns({c: strip_markup(F.col(c)) for c in text_cols}) if text_cols else parents
     stem, dot, ext = path.rpartition(".")
     second = f"{stem}_highlights.{ext}" if dot and "/" not in ext else f"{path}_highlights"
-    csv_report(clean, path)
-    csv_report(children, second)
+    csv_parts(clean, path)
+    csv_parts(children, second)
     return path, second
 
 
