@@ -12,16 +12,21 @@ from weftline.functions.text import strip_markup
 from weftline.operators.relational import nest
 
 
+def _flags(df: DataFrame) -> DataFrame:
+    """Flags as 1 and 0."""
+    flags = [f.name for f in df.schema.fields if f.dataType.typeName() == "boolean"]
+    return df.withColumns({c: F.col(c).cast("int") for c in flags}) if flags else df
+
+
 def csv_report(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
     """One CSV file with a header, for people; ordered if asked for.  Flags are written as 1 and 0."""
-    flags = [f.name for f in df.schema.fields if f.dataType.typeName() == "boolean"]
-    out = df.withColumns({c: F.col(c).cast("int") for c in flags}) if flags else df
+    out = _flags(df)
     (out.orderBy(*order) if order else out).coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
 def csv_parts(df: DataFrame, path: str) -> None:
-    """As many CSV files as there are partitions: for data, not for people."""
-    df.write.mode("overwrite").csv(path, header=True)
+    """As many CSV files as there are partitions: for data, not for people.  Flags are written as 1 and 0."""
+    _flags(df).write.mode("overwrite").csv(path, header=True)
 
 
 def json_document(df: DataFrame, path: str) -> None:
