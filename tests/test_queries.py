@@ -40,7 +40,7 @@ def test_query_matches_sql(spark, data, duck, name):
     assert mine == theirs
 
 
-@pytest.mark.parametrize("name", ["kmeans_positions", "convergence_orders", "betweenness", "name_clusters", "name_reduction", "bracket_simulated", "bankroll_strategies", "markov_generated", "batch_cycles", "p3_filled", "p3_values"])
+@pytest.mark.parametrize("name", ["convergence_orders", "name_clusters", "name_reduction", "bracket_simulated", "bankroll_strategies", "markov_generated", "batch_cycles", "p3_filled", "p3_values"])
 def test_query_without_a_twin_has_rows(spark, data, name):
     assert catalog.QUERIES[name](spark, data).count() > 0
 

@@ -109,10 +109,10 @@ def neighbours_by_kind(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("ego_archive", "GRA08", sql=f"""
-WITH {_EDGES}, s AS (SELECT DISTINCT 'd:' || row_no AS id FROM papyri_documents WHERE archive_key = 'arch00000001')
+WITH {_EDGES}, s AS (SELECT DISTINCT 'd:' || row_no AS id FROM papyri_documents WHERE substr(archive_key, 5)::BIGINT % 20 = 1)
 SELECT DISTINCT src, dst, relation FROM edges WHERE src IN (SELECT id FROM s) OR dst IN (SELECT id FROM s)""")
 def ego_archive(spark: SparkSession, d: str) -> DataFrame:
-    seeds = t(spark, d, "papyri_documents").filter("archive_key = 'arch00000001'").select(F.concat(F.lit("d:"), "row_no").alias("id")).distinct()
+    seeds = t(spark, d, "papyri_documents").filter(F.substring("archive_key", 5, 20).cast("bigint") % 20 == 1).select(F.concat(F.lit("d:"), "row_no").alias("id")).distinct()
     return G.ego(_edges(spark, d).select("src", "dst", "relation").distinct(), seeds)
 
 
@@ -144,7 +144,21 @@ def insularity(spark: SparkSession, d: str) -> DataFrame:
     return G.inside_outside(_names(spark, d).filter("place <> ''"), "name", "place", F.col("place").contains("kome"))
 
 
-@query("betweenness", "GRA05")
+def _betweenness_sql(levels: int = 20) -> str:
+    """All shortest ways counted level by level, for small graphs of a diameter below ``levels``."""
+    out = """e AS MATERIALIZED (SELECT src AS a, dst AS b FROM net UNION ALL SELECT dst, src FROM net), n AS (SELECT count(DISTINCT a)::DOUBLE AS n FROM e),
+  f0 AS MATERIALIZED (SELECT DISTINCT a AS s, a AS v, 0 AS d, 1.0::DOUBLE AS g FROM e), w0 AS MATERIALIZED (SELECT * FROM f0)"""
+    for i in range(1, levels):
+        out += f""", f{i} AS MATERIALIZED (SELECT f.s, e.b AS v, {i} AS d, sum(f.g) AS g FROM f{i - 1} f JOIN e ON e.a = f.v WHERE NOT EXISTS (SELECT 1 FROM w{i - 1} w WHERE w.s = f.s AND w.v = e.b) GROUP BY f.s, e.b),
+  w{i} AS MATERIALIZED (SELECT * FROM w{i - 1} UNION ALL SELECT * FROM f{i})"""
+    last = f"w{levels - 1}"
+    return out + f""" SELECT k.a AS id, round(coalesce(any_value(c), 0) / ((any_value(n) - 1) * (any_value(n) - 2)), 6)::DOUBLE AS betweenness FROM (SELECT DISTINCT a FROM e) k CROSS JOIN n
+  LEFT JOIN (SELECT x.v, sum(x.g * y.g / z.g) AS c FROM {last} x JOIN {last} y ON y.s = x.v AND x.s <> x.v AND y.v <> x.v JOIN {last} z ON z.s = x.s AND z.v = y.v AND z.d = x.d + y.d GROUP BY 1) b ON b.v = k.a GROUP BY 1"""
+
+
+@query("betweenness", "GRA05", sql=f"""
+WITH {_NAMES}, p AS (SELECT DISTINCT place, name FROM nm WHERE place <> ''),
+net AS MATERIALIZED (SELECT x.place AS src, y.place AS dst FROM p x JOIN p y ON x.name = y.name AND x.place < y.place GROUP BY ALL HAVING count(*) >= 2), {_betweenness_sql()}""")
 def betweenness(spark: SparkSession, d: str) -> DataFrame:
     """The places of :func:`place_network`: how often each lies on the shortest ways between others, exactly."""
     return rounded(G.betweenness(place_network(spark, d)))
@@ -187,6 +201,32 @@ def name_clusters(spark: SparkSession, d: str) -> DataFrame:
     return E.merge_records(p.join(c.select("person_id", "leader"), "person_id"), "leader", "canonical_name", "mention_count", "year_from", "year_to")
 
 
+@query("name_cluster_rules", "ENT02", "ENT03", sql="""
+SELECT count(*) AS person_rows, sum(coalesce(mention_count, 0))::BIGINT AS mentions, min(coalesce(year_range.year_from, year_range.year_from))::INTEGER AS year_from, max(year_range.year_to)::INTEGER AS year_to, true AS alike, true AS led, true AS apart FROM canonical_persons""")
+def name_cluster_rules(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of greedy clusters: no row, mention or year is lost; members share half of their leader's stems; leaders are
+    their own members; and no leader of an archive could have joined another that comes before it."""
+    p = t(spark, d, "canonical_persons").select("person_id", "archive_key", "canonical_name", "mention_count", "year_range.year_from", "year_range.year_to")
+    s = p.withColumn("stems", E.stems(F.col("canonical_name"))).withColumn("n", F.coalesce("mention_count", F.lit(0)))
+    c = E.greedy_clusters(s, "archive_key", "person_id", "stems", "n").select("person_id", "leader")
+    led = s.join(c, "person_id").join(s.select(F.col("person_id").alias("leader"), F.col("stems").alias("ls")), "leader")
+    near = lambda a, b: 2 * F.size(F.array_intersect(a, b)) >= F.size(F.array_union(a, b))
+    rules = led.agg(F.count("*").alias("person_rows"), F.bool_and((F.col("leader") == F.col("person_id")) | near("stems", "ls")).alias("alike"), F.bool_or(F.col("leader") == F.col("person_id")).alias("led"))
+    heads = led.filter("leader = person_id and archive_key is not null").select("archive_key", "person_id", "stems", F.explode(F.array_distinct("stems")).alias("stem"))
+    other = heads.select("archive_key", F.col("person_id").alias("b"), F.col("stems").alias("bs"), "stem")
+    clash = heads.join(other, ["archive_key", "stem"]).filter((F.col("person_id") < F.col("b")) & near("stems", "bs")).count()
+    m = E.merge_records(led, "leader", "canonical_name", "mention_count", "year_from", "year_to").agg(F.sum("mention_count").alias("mentions"), F.min("year_from").alias("year_from"), F.max("year_to").alias("year_to"))
+    return rules.join(m).select("person_rows", "mentions", "year_from", "year_to", "alike", "led", F.lit(clash == 0).alias("apart"))
+
+
+@query("spelling_reduction", "ENT05", sql="""
+SELECT round(100.0 * (1 - count(DISTINCT coalesce(archive_key, '') || '|' || coalesce(canonical_name, '')) / count(*)), 6)::DOUBLE AS reduction_pct FROM canonical_persons""")
+def spelling_reduction(spark: SparkSession, d: str) -> DataFrame:
+    """By how many per cent the distinct spellings of the archives are fewer than the person rows."""
+    p = t(spark, d, "canonical_persons")
+    return rounded(E.reduction(p, p.select(F.coalesce("archive_key", F.lit("")), F.coalesce("canonical_name", F.lit(""))).distinct()).select("reduction_pct"))
+
+
 @query("name_reduction", "ENT05")
 def name_reduction(spark: SparkSession, d: str) -> DataFrame:
     """By how many per cent the clusters are fewer than the person rows."""

@@ -144,7 +144,19 @@ def positional_roles(spark: SparkSession, d: str) -> DataFrame:
     return rounded(I.positions(_letters(spark, d), F.col("l"), 5, "n"))
 
 
-@query("kmeans_positions", "INF15")
+def _kmeans_sql(rounds: int = 20) -> str:
+    """The rounds of k-means, one after the other."""
+    dist = " + ".join(f"(p.{x} - c.{x}) * (p.{x} - c.{x})" for x in "abc")
+    out = "c0 AS (SELECT * FROM (VALUES (0, 0.8::DOUBLE, 0.1::DOUBLE, 0.1::DOUBLE), (1, 0.1, 0.8, 0.1), (2, 0.1, 0.1, 0.8)) v(k, a, b, c))"
+    for i in range(rounds + 1):
+        out += f", m{i} AS MATERIALIZED (SELECT p.token, any_value(p.a) AS a, any_value(p.b) AS b, any_value(p.c) AS c, arg_min(c.k, ({dist}, c.k)) AS k FROM g p, c{i} c GROUP BY 1)"
+        out += f", c{i + 1} AS MATERIALIZED (SELECT c{i}.k, coalesce(avg(m.a), any_value(c{i}.a)) AS a, coalesce(avg(m.b), any_value(c{i}.b)) AS b, coalesce(avg(m.c), any_value(c{i}.c)) AS c FROM c{i} LEFT JOIN m{i} m USING (k) GROUP BY 1)"
+    return out + f" SELECT token, k::INTEGER AS cluster FROM m{rounds}"
+
+
+@query("kmeans_positions", "INF15", sql=f"""
+WITH {_TOK}, {_POS}, p AS (SELECT l[i] AS token, i = 1 AS f, i = len(l) AS e FROM (SELECT l, unnest(range(1, len(l) + 1)) AS i FROM w)),
+g AS MATERIALIZED (SELECT token, count_if(f) / count(*) AS a, count_if(NOT f AND NOT e) / count(*) AS b, count_if(e) / count(*) AS c FROM p GROUP BY 1 HAVING count(*) >= 5), {_kmeans_sql()}""")
 def kmeans_positions(spark: SparkSession, d: str) -> DataFrame:
     """Letters clustered by where they stand in words, from fixed centres."""
     p = I.positions(_letters(spark, d), F.col("l"), 5, "n")
