@@ -82,13 +82,13 @@ def period_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query("weekly_to_monthly", "AGG19", sql=f"""
 WITH {DAILY}, w AS (SELECT event_type, date_trunc('week', day)::DATE AS week, avg(v) AS v FROM daily GROUP BY ALL)
-SELECT event_type, strftime(week, '%Y-%m') AS month, round(avg(round(v, 4)), 4) AS value, count(*) AS n_weeks FROM w WHERE week(week) % 4 <> 0 GROUP BY ALL""")
+SELECT event_type, strftime(week, '%Y-%m') AS month, round(avg(round(v, 4)), 8) AS value, count(*) AS n_weeks FROM w WHERE week(week) % 4 <> 0 GROUP BY ALL""")
 def weekly_to_monthly(spark: SparkSession, d: str) -> DataFrame:
     """Weekly texts, every fourth of them a full stop, as monthly means of what can be read."""
     w = daily(spark, d).groupBy("event_type", F.date_trunc("week", "day").cast("date").alias("week")).agg(F.avg("v").alias("v"))
     text = F.when(F.weekofyear("week") % 4 == 0, ".").otherwise(r("v", 4).cast("string"))
     ok = w.select("event_type", "week", text.try_cast("double").alias("x")).filter("x is not null")
-    return ok.groupBy("event_type", F.date_format("week", "yyyy-MM").alias("month")).agg(r(F.avg("x"), 4).alias("value"), F.count("*").alias("n_weeks"))
+    return ok.groupBy("event_type", F.date_format("week", "yyyy-MM").alias("month")).agg(r(F.avg("x"), 8).alias("value"), F.count("*").alias("n_weeks"))
 
 
 # -- lookups -----------------------------------------------------------------------------------------------------------------------
