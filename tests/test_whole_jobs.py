@@ -2,13 +2,16 @@
 
 import random
 import unicodedata
+from collections import Counter
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import weftline.plans  # noqa: F401
 from weftline import catalog
 from weftline.functions.text import fold_accents
-from weftline.operators import entity
+from weftline.operators import entity, simulate
 
 
 def run(spark, tmp_path, query, rows, schema, table):
@@ -128,3 +131,32 @@ def test_reduction(spark, tmp_path):
     table = "person_id long, archive_key string, canonical_name string, mention_count int, year_range struct<year_from int, year_to int>"
     assert [tuple(r) for r in run(spark, tmp_path, "name_reduction", people, table, "canonical_persons")] == [(4, 2, 50.0)]
     assert entity.reduction(spark.range(0), spark.range(0)).first()["reduction_pct"] is None
+
+
+def test_walks_never_bring_the_model_to_the_driver(spark, monkeypatch):
+    rnd = random.Random(3)
+    words = ["the"] * 30 + [f"w{i}" for i in range(400)] + ["ᾄβ", "ζ"]
+    texts = [[rnd.choice(words) for _ in range(20)] for _ in range(1_000)]
+    n = Counter((" ".join(t[i : i + 2]), t[i + 2]) for t in texts for i in range(18))
+    model = spark.createDataFrame([(a, b, k) for (a, b), k in n.items()], "a string, b string, n long").repartition(3)
+    with monkeypatch.context() as m:
+        for f in ("collect", "toArrow", "toPandas", "toLocalIterator"):
+            m.setattr(type(model), f, lambda *_: pytest.fail("fetched by the driver"))
+        made = simulate.markov_text(model, "a", "b", "n", [], 50, 6, 42, order=2)
+    table = {}
+    for (a, b), k in sorted(n.items()):
+        table.setdefault(a, []).append((b, k))
+    keys = sorted(table)
+    want = []
+    for i in range(6):
+        g = np.random.Generator(np.random.Philox(key=[42, i]))
+        seq = keys[int(g.integers(len(keys)))].split(" ")
+        while len(seq) < 50:
+            at = table.get(" ".join(seq[-2:]))
+            if at is None:
+                seq += keys[int(g.integers(len(keys)))].split(" ")
+            else:
+                cum = np.cumsum([k for _, k in at]) / sum(k for _, k in at)
+                seq.append(at[int(np.searchsorted(cum, g.random()))][0])
+        want.append(seq[:50])
+    assert [r["tokens"] for r in made.orderBy("run").collect()] == want

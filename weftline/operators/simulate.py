@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
+from typing import IO
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,40 +93,119 @@ def bankroll(spark: SparkSession, bets: Sequence[tuple[float, float]], fractions
     return spark.range(sims).mapInPandas(run, "strategy int, sim bigint, final double, ruined boolean")
 
 
-def markov_text(model: DataFrame, context: str, token: str, count: str, starts: Sequence[str], length: int, runs: int, seed: int, max_rows: int = 5_000_000, order: int = 1) -> DataFrame:
+#: transitions in a packed block, at least: a block ends where a context ends
+BLOCK_ROWS = 2_048
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(first, contexts, block)``: sorted transitions in compressed blocks, each of whole contexts."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    waiting: list[pa.Table] = []
+
+    def packed(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        out, i = [], 0
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(starts, starts[i] + BLOCK_ROWS)))
+            end = int(starts[j]) if j < len(starts) else rows.num_rows
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=options) as w:
+                w.write_table(rows.slice(int(starts[i]), end - int(starts[i])).combine_chunks())
+            out.append((rows["c"][int(starts[i])].as_py(), min(j, len(starts)) - i, sink.getvalue().to_pybytes()))
+            i = j
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), (pa.string(), pa.int64(), pa.binary()))], ["first", "contexts", "block"])
+
+    for b in batches:
+        b = b.filter(pc.and_(b.column(0).is_valid(), b.column(1).is_valid()))
+        if not b.num_rows:
+            continue
+        if waiting and b.column(0)[b.num_rows - 1] == waiting[0]["c"][0]:  # still the same context
+            waiting.append(pa.Table.from_batches([b]))
+            continue
+        rows = pa.concat_tables([*waiting, pa.Table.from_batches([b])]).combine_chunks()
+        starts = _starts(rows["c"])
+        if len(starts) > 1 and starts[-1] > 0:
+            yield packed(rows.slice(0, int(starts[-1])), starts[:-1])
+        waiting = [rows.slice(int(starts[-1]))]
+    if waiting:
+        rows = pa.concat_tables(waiting)
+        yield packed(rows, _starts(rows["c"]))
+
+
+def _starts(contexts: pa.ChunkedArray) -> np.ndarray:
+    """Where another context begins in sorted ones."""
+    return np.r_[0, 1 + np.flatnonzero(pc.not_equal(contexts.slice(1), contexts.slice(0, len(contexts) - 1)).to_numpy())]
+
+
+class _Transitions:
+    """Packed blocks in a file of the task's own; what is in memory are the first context of each and the blocks read last."""
+
+    def __init__(self, file: IO[bytes], batches: Iterator[pa.RecordBatch]) -> None:
+        self.file, index = file, []
+        for b in batches:
+            for first, n, block in zip(*[b.column(i) for i in range(3)]):
+                if first.is_valid:
+                    index.append((first.as_py(), n.as_py(), file.tell(), file.write(block.as_buffer())))
+        index.sort()
+        self.first = [x[0] for x in index]
+        self.before = np.concatenate([[0], np.cumsum([x[1] for x in index], dtype=np.int64)])
+        self.at = [x[2:] for x in index]
+        self.block = lru_cache(maxsize=256)(self._block)
+
+    def _block(self, i: int) -> tuple[list[str], np.ndarray, pa.ChunkedArray, np.ndarray]:
+        self.file.seek(self.at[i][0])
+        rows = pa.ipc.open_stream(self.file.read(self.at[i][1])).read_all()
+        starts = _starts(rows["c"])
+        return rows["c"].take(pa.array(starts)).to_pylist(), np.r_[starts, rows.num_rows], rows["t"], rows["n"].to_numpy()
+
+    def __len__(self) -> int:
+        return int(self.before[-1])
+
+    def context(self, k: int) -> str:
+        """The ``k``-th context in order."""
+        i = int(np.searchsorted(self.before, k, side="right")) - 1
+        return self.block(i)[0][k - int(self.before[i])]
+
+    def following(self, context: str) -> tuple[pa.ChunkedArray, np.ndarray] | None:
+        """The tokens that follow, in order, and the shares up to each."""
+        i = bisect_right(self.first, context) - 1
+        if i < 0:
+            return None
+        contexts, starts, tokens, n = self.block(i)
+        k = bisect_left(contexts, context)
+        if k == len(contexts) or contexts[k] != context:
+            return None
+        a, b = int(starts[k]), int(starts[k + 1])
+        return tokens.slice(a, b - a), np.cumsum(n[a:b]) / np.sum(n[a:b])
+
+
+def markov_text(model: DataFrame, context: str, token: str, count: str, starts: Sequence[str], length: int, runs: int, seed: int, order: int = 1) -> DataFrame:
     """``(run, tokens array)``: weighted walks through a model ``(context, token, count)``, whose contexts are ``order`` tokens
-    with blanks between; a dead end jumps to a random context, whose tokens are written down."""
-    rows = model.select(context, token, count).orderBy(context, token).limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"more than {max_rows} transitions")
-    table: dict[str, tuple[list[str], np.ndarray]] = {}
-    for c, t, n in rows:
-        table.setdefault(c, ([], []))[0].append(t)
-        table[c][1].append(n)
-    table = {c: (ts, np.cumsum(ns) / np.sum(ns)) for c, (ts, ns) in table.items()}
-    keys = sorted(table)
-    spark = model.sparkSession
-    shared = spark.sparkContext.broadcast((table, keys))
+    with blanks between; a dead end jumps to a random context, whose tokens are written down.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tab, all_keys = shared.value
-        for b in batches:
+    The transitions are sorted and packed by all tasks; one task puts the compressed blocks into a file and walks through
+    them, so that neither the driver nor any task holds the model, whatever its size."""
+    rows = model.select(F.col(context).cast("string").alias("c"), F.col(token).cast("string").alias("t"), F.col(count).cast("bigint").alias("n"))
+    blocks = rows.repartitionByRange("c").sortWithinPartitions("c", "t").mapInArrow(_pack, "first string, contexts bigint, block binary")
+    none = model.sparkSession.range(1).select(F.lit(None).cast("string").alias("first"), F.lit(0).cast("bigint").alias("contexts"), F.lit(None).cast("binary").alias("block"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with tempfile.TemporaryFile() as file:
+            tab = _Transitions(file, batches)
             out = []
-            for i in b["id"]:
-                g = np.random.Generator(np.random.Philox(key=[seed, int(i)]))
-                seq = (starts[int(i) % len(starts)] if starts else all_keys[int(g.integers(len(all_keys)))] if all_keys else "").split(" ")
-                while len(seq) < length and all_keys:
-                    at = tab.get(" ".join(seq[-order:]))
+            for i in range(runs):
+                g = np.random.Generator(np.random.Philox(key=[seed, i]))
+                seq = (starts[i % len(starts)] if starts else tab.context(int(g.integers(len(tab)))) if len(tab) else "").split(" ")
+                while len(seq) < length and len(tab):
+                    at = tab.following(" ".join(seq[-order:]))
                     if at is None:
-                        seq += all_keys[int(g.integers(len(all_keys)))].split(" ")
+                        seq += tab.context(int(g.integers(len(tab)))).split(" ")
                     else:
                         ts, cum = at
-                        seq.append(ts[min(int(np.searchsorted(cum, g.random())), len(ts) - 1)])
-                del seq[length:]
-                out.append(seq)
-            yield pd.DataFrame({"run": b["id"], "tokens": out})
+                        seq.append(ts[min(int(np.searchsorted(cum, g.random())), len(ts) - 1)].as_py())
+                out.append(seq[:length])
+            yield pa.RecordBatch.from_arrays([pa.array(range(runs), pa.int64()), pa.array(out, pa.list_(pa.string()))], ["run", "tokens"])
 
-    return spark.range(runs).mapInPandas(run, "run bigint, tokens array<string>")
+    return blocks.unionByName(none).repartition(1).mapInArrow(walk, "run bigint, tokens array<string>")
 
 
 def holdout(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
