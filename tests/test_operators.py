@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,3 +220,45 @@ def test_models(spark):
     m = models.make_model("ridge", ["a", "b"], "t").fit(df)
     imp = dict(rows(models.permutation_importance(m, df, "id", ["a", "b"], "t")))
     assert imp["a"] > imp["b"]
+
+
+def test_betweenness_has_no_bound_on_edges(spark, monkeypatch):
+    """Blocks of any number, chunks of few edges, ways not kept, and none of the edges at the driver."""
+    rnd = np.random.default_rng(5)
+    pairs = sorted({tuple(sorted(map(int, p))) for p in np.r_[rnd.integers(0, 60, (150, 2)), rnd.integers(60, 90, (40, 2))] if p[0] != p[1]})
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = dict.fromkeys(near, 0.0)
+    for s in near:  # Brandes, plainly
+        dist, ways, order = {s: 0}, {s: 1}, [s]
+        for v in order:
+            for w in near[v]:
+                if w not in dist:
+                    dist[w], ways[w] = dist[v] + 1, 0
+                    order.append(w)
+                if dist[w] == dist[v] + 1:
+                    ways[w] += ways[v]
+        back = dict.fromkeys(order, 0.0)
+        for w in reversed(order):
+            for v in near[w]:
+                if dist[v] == dist[w] - 1:
+                    back[v] += ways[v] / ways[w] * (1 + back[w])
+            if w != s:
+                want[w] += back[w]
+    n = len(near)
+    edges = spark.createDataFrame([(f"p{a:02}", f"p{b:02}") for a, b in pairs], "src string, dst string")
+    with monkeypatch.context() as m:
+        for f in ("toArrow", "toPandas", "toLocalIterator"):
+            m.setattr(type(edges), f, lambda *_: pytest.fail("fetched by the driver"))
+        got = graph.betweenness(edges)
+    assert {r["id"]: r["betweenness"] for r in got.collect()} == pytest.approx({f"p{v:02}": x / ((n - 1) * (n - 2)) for v, x in want.items()})
+    number = {v: i for i, v in enumerate(near)}
+    lists = [np.array([number[w] for w in near[v]]) for v in near]
+    deg = np.array([len(x) for x in lists])
+    for chunk, kept in ((1 << 20, 1 << 23), (7, 20), (1, 0)):
+        monkeypatch.setattr(graph, "CHUNK_EDGES", chunk)
+        monkeypatch.setattr(graph, "KEPT_EDGES", kept)
+        sums = sum(graph._dependencies(np.cumsum(deg) - deg, deg, np.concatenate(lists), s) for s in range(n))
+        assert sums == pytest.approx([want[v] for v in near])
