@@ -175,3 +175,20 @@ def test_whole_table_unmasks(spark, tagger):
             kept = [(k, r["text"][a:b]) for k, a, b in I.find_details(r["text"], tagger, dates=True) if k in ("phone", "id_number", "date")]
             back = I.unmask_text(masked[r["doc_id"]], b"k")
             assert all(v in back for _, v in kept)
+
+
+def test_tagger_is_fitted_on_every_text(spark):
+    """A word that only a few of very many texts use, long texts and late candidates count; the driver gets sums only."""
+    names = [f"Maria W{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}ler" for i in range(400)]
+    texts = [f"{n} told the desk number {i} that the gate is open." for i, n in enumerate(names)]
+    texts += [f"The lamp of Old Harbour {'stands quietly ' * 400}near pier {i}." for i in range(6)]  # over 5,000 characters
+    texts += [f"Line {i} is kept here." for i in range(7_000)]
+    texts += [f"A zwiebel was sold on day {i}." for i in range(5)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *texts[:50], "", None])], "doc_id long, text string")
+    fitted = N.fit_tagger(df, "doc_id", "text", frozenset({"maria"}))
+    assert {"zwiebel", "quietly", "kept"} <= fitted.common
+    start = N.Tagger(fitted.forenames, fitted.common, fitted.openers)
+    got = [(f, known) for t in texts for _, _, f, known, fit in N.candidates(t, start) if fit]
+    whole = N.fit_on([f for f, _ in got], np.array([k for _, k in got], dtype=float), start)
+    assert sum(k for _, k in got) == 400
+    assert np.abs(whole.weights - fitted.weights).max() < 1e-3 and abs(whole.labelled_mean - fitted.labelled_mean) < 1e-4

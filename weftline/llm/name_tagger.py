@@ -1,4 +1,4 @@
-"""A tagger for names of modern persons, trained on weak labels of a bounded sample.
+"""A tagger for names of modern persons, trained on weak labels in all texts.
 
 A candidate is a run of capitalised words and initials (or of words in small letters that the language doesn't use).  Its
 weak label is whether a list of forenames knows one of its words; the classifier never sees that word itself, only what
@@ -14,18 +14,17 @@ from __future__ import annotations
 
 import re as sre
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.pii_forms import emails
-
-#: bounds of the sample that a tagger is fitted on: texts (each no longer than so many characters), candidates, lexicon
-MAX_TEXTS, MAX_CHARS, MAX_CANDIDATES, MAX_WORDS = 6_000, 5_000, 60_000, 50_000
+from weftline.session import cut_lineage
 
 _W = r"\p{L}[\p{L}\p{M}]*(?:['’-]\p{L}[\p{L}\p{M}]*)*"
 _CAP = r"\p{Lu}[\p{L}\p{M}]*(?:['’-]\p{L}[\p{L}\p{M}]*)*"
@@ -274,28 +273,56 @@ def find_names(text: str, tag: Tagger, taken: bytearray) -> list[tuple[int, int]
     return out
 
 
-def fit_weights(feats: list[list[int]], y: np.ndarray, l2: float = 0.02, steps: int = 300) -> np.ndarray:
-    """Logistic weights by accelerated gradient steps, shrunk towards the prior means."""
+def _sums(at: np.ndarray, size: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """(probabilities, gradient, loss) of candidates whose feature numbers stand one after another in ``at``, so many of each."""
+    row = np.repeat(np.arange(len(size)), size)
+    z = np.clip(np.bincount(row, weights=w[at], minlength=len(size)), -30, 30)
+    p = 1 / (1 + np.exp(-z))
+    return p, np.bincount(at, weights=(p - y)[row], minlength=len(w)), float((np.logaddexp(0, z) - y * z).sum())
+
+
+def fit_weights(total: Callable[[np.ndarray], tuple[np.ndarray, float]], n: int, seen: np.ndarray, l2: float = 0.02, steps: int = 300, tolerance: float = 1e-4, memory: int = 10) -> np.ndarray:
+    """Logistic weights, shrunk towards the prior means, by L-BFGS; ``total`` gives gradient and loss summed over all ``n`` candidates,
+    ``seen`` says how many have a feature.  It ends where no scaled slope is above ``tolerance``."""
     prior = np.r_[np.array(list(PRIORS.values())), np.zeros(BUCKETS)]
-    if not len(feats):
+    if not n:
         return prior
-    n = len(feats)
-    at = np.fromiter((x for f in feats for x in f), dtype=np.int64)
-    row = np.repeat(np.arange(n), [len(f) for f in feats])
-    used, inv, seen = np.unique(at, return_inverse=True, return_counts=True)
-    w0 = prior[used]
-    w, v = w0.copy(), np.zeros(len(used))
-    reg = l2 * np.where(used < len(_NAMES), 0.3, 1.0)
-    rate = 4.0 / np.maximum(np.bincount(inv, minlength=len(used)) / n, 0.01) / max(len(f) for f in feats)
-    for i in range(steps):
-        z = w + (i / (i + 3)) * v
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights=z[inv], minlength=n), -30, 30)))
-        g = np.bincount(inv, weights=(p - y)[row], minlength=len(used)) / n + reg * (z - w0) / 10
-        new = np.where(seen >= 3, z - rate * g, w0)  # what was hardly ever seen says nothing
-        v, w = new - w, new
-    out = prior.copy()
-    out[used] = w
-    return out
+    reg = l2 * np.where(np.arange(len(prior)) < len(_NAMES), 0.3, 1.0) / 10
+    scale = np.where(seen >= 3, 1 / np.sqrt(0.25 * seen / n + reg), 0.0)  # what was hardly ever seen says nothing
+
+    def at(u: np.ndarray) -> tuple[np.ndarray, float]:
+        g, loss = total(prior + scale * u)
+        return scale * (g / n + reg * scale * u), loss / n + float((reg * (scale * u) ** 2).sum()) / 2
+
+    u = np.zeros(len(prior))
+    g, loss = at(u)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        if np.abs(g).max() < tolerance:
+            break
+        d, alphas = g.copy(), []
+        for s, y in reversed(pairs):
+            alphas.append((s @ d) / (s @ y))
+            d -= alphas[-1] * y
+        if pairs:
+            s, y = pairs[-1]
+            d *= (s @ y) / (y @ y)
+        for (s, y), alpha in zip(pairs, reversed(alphas)):
+            d += (alpha - (y @ d) / (s @ y)) * s
+        rate = 1.0
+        while True:
+            new, (new_g, new_loss) = u - rate * d, at(u - rate * d)
+            if new_loss <= loss - 1e-4 * rate * (g @ d) or rate < 1e-6:
+                break
+            rate /= 2
+        s, y = new - u, new_g - g
+        if s @ y > 1e-12:
+            pairs = [*pairs, (s, y)][-memory:]
+        stuck = rate < 1e-6
+        u, g, loss = new, new_g, new_loss
+        if stuck:
+            break
+    return prior + scale * u
 
 
 _CASED = re.compile(r"(?P<open>(?:^|[.!?;:»”\"]\s+|\n\s*(?:[-–—*] )?)?)(?P<w>\p{L}+)")
@@ -304,70 +331,128 @@ _CASED = re.compile(r"(?P<open>(?:^|[.!?;:»”\"]\s+|\n\s*(?:[-–—*] )?)?)(?
 _URL = sre.compile(r"https?://\S+|@\w+")
 
 
-def lexicon(texts: list[str]) -> tuple[frozenset[str], frozenset[str]]:
-    """(words of the language, words that only open sentences) of distinct texts.
-
-    A word of the language stands in small letters in five texts and in a fifth of its texts at least; an opener is
-    capitalised in five texts and nearly always where a sentence begins."""
-    lower: dict[str, int] = {}
-    upper: dict[str, int] = {}
-    first: dict[str, int] = {}
+def _word_counts(texts: list[str]) -> dict[str, list[int]]:
+    """For each word the number of texts that have it in small letters, otherwise, and of these those where it always opens a sentence."""
+    out: dict[str, list[int]] = {}
     for t in texts:
         for a, b in reversed(list(emails(t))):  # the words of an address are no words of the language
             t = t[:a] + t[b:]
         t = _URL.sub("", t)
-        low, up, begin = set(), set(), {}
+        low, begin = set(), {}
         for opens, w in _CASED.findall(t):
             if w.islower():
                 low.add(w)
             else:
-                up.add(w)
                 begin[w] = begin.get(w, True) and (bool(opens) or t.startswith(w))
         for w in low:
-            lower[w] = lower.get(w, 0) + 1
-        for w in up:
-            upper[w] = upper.get(w, 0) + 1
-            first[w] = first.get(w, 0) + begin[w]
-    caps: dict[str, int] = {}
-    for w, n in upper.items():
-        caps[w.lower()] = caps.get(w.lower(), 0) + n
-    common = [w for w, n in lower.items() if n >= 5 and n >= 0.2 * (n + caps.get(w, 0))]
-    openers = [w for w, n in upper.items() if n >= 5 and first[w] >= 0.85 * n]
-    most = lambda ws, n: frozenset(sorted(ws, key=lambda w: (-n[w], w))[:MAX_WORDS])
-    return most(common, lower), most(openers, upper)
-
-
-def fit_tagger(
-    df: DataFrame, key: str, text: str, forenames: frozenset[str], *, max_texts: int = MAX_TEXTS, max_chars: int = MAX_CHARS, max_candidates: int = MAX_CANDIDATES, least: int = 30
-) -> Tagger:
-    """A tagger for the texts of ``df``, fitted on at most ``max_texts`` of them (chosen by a hash of the key).
-
-    The lexicon holds words that the sample uses in small letters, in two texts at least and mostly so.  With fewer than
-    ``least`` labelled candidates the prior is kept."""
-    sample = df.select(F.col(text).alias("t"), F.xxhash64(key, F.lit(11)).alias("h")).filter(F.length("t").between(1, max_chars)).orderBy("h", "t").limit(max_texts)
-    rows = list(dict.fromkeys(r["t"] for r in sample.select("t").collect()))  # bounded by both parameters
-    tag = Tagger(forenames, *lexicon(rows))
-    feats, y = [], []
-    for t in rows:
-        for _, _, f, known, fit in candidates(t, tag):
-            if fit:
-                feats.append(f)
-                y.append(known)
-        if len(y) >= max_candidates:
-            break
-    if sum(y) < least:
+            out.setdefault(w, [0, 0, 0])[0] += 1
+        for w, first in begin.items():
+            n = out.setdefault(w, [0, 0, 0])
+            n[1] += 1
+            n[2] += first
+    return out
+
+
+def lexicon(texts: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
+    """(words of the language, words that only open sentences) of all of the distinct ``texts(t)``.
+
+    A word of the language stands in small letters in five texts and in a fifth of its texts at least; an opener is
+    capitalised in five texts and nearly always where a sentence begins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = _word_counts(b.column(0).to_pylist())
+            words = list(got)
+            counts = [pa.array([got[w][k] for w in words], pa.int64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([w.lower() for w in words], pa.string()), *counts], ["w", "low", "n_low", "n_up", "n_first"])
+
+    per = texts.mapInArrow(run, "w string, low string, n_low bigint, n_up bigint, n_first bigint").groupBy("w", "low").agg(*[F.sum(c).alias(c) for c in ("n_low", "n_up", "n_first")])
+    both = per.groupBy("low").agg(
+        F.sum("n_up").alias("caps"), F.sum(F.when(F.col("w") == F.col("low"), F.col("n_low")).otherwise(0)).alias("n"),
+        F.collect_list(F.when((F.col("n_up") >= 5) & (F.col("n_first") >= 0.85 * F.col("n_up")), F.col("w"))).alias("openers"),
+    )
+    common = (F.col("n") >= 5) & (F.col("n") >= 0.2 * (F.col("n") + F.col("caps")))
+    got = both.select("low", common.alias("common"), "openers").filter(F.col("common") | (F.size("openers") > 0)).collect()  # words of the language, not rows
+    return frozenset(r["low"] for r in got if r["common"]), frozenset(w for r in got for w in r["openers"])
+
+
+def fit_tagger(df: DataFrame, key: str, text: str, forenames: frozenset[str], *, least: int = 30) -> Tagger:
+    """A tagger for the texts of ``df``, fitted on all of them, each distinct text once.
+
+    The candidates' feature numbers are packed into blocks and written once; the fits pass over these blocks, and only sums come
+    to the driver.  With fewer than ``least`` labelled candidates the prior is kept."""
+    texts = cut_lineage(df.filter(F.length(text) > 0).select(F.col(text).alias("t")).distinct())
+    tag = Tagger(forenames, *lexicon(texts))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [(f, known) for t in b.column(0).to_pylist() for _, _, f, known, fit in candidates(t, tag) if fit]
+            if got:
+                yield _block(np.fromiter((x for f, _ in got for x in f), dtype=np.uint16), [len(f) for f, _ in got], [k for _, k in got], [k for _, k in got])
+
+    blocks = cut_lineage(texts.mapInArrow(pack, _BLOCK))
+    few = max(1, min(blocks.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism))
+    found = _passes(blocks.coalesce(few), lambda at, size, y, target: (np.bincount(at, minlength=len(tag.weights)), [len(y), y.sum()]))
+    if found is None or found[1][1] < least:
         return tag
-    return fit_on(feats, np.array(y, dtype=float), tag)
+    seen, (n, labelled) = found[0], found[1]
+    for turn in range(2):  # unlabelled candidates that the first fit takes for names are no negatives in the second
+        now = blocks.coalesce(few)
+        w = fit_weights(lambda w: (lambda g, x: (g, x[0]))(*_passes(now, lambda at, size, y, target: (lambda p, g, loss: (g, [loss]))(*_sums(at, size, target, w)))), int(n), seen)  # noqa: B023
+        mean = _labelled_mean(_passes(now, lambda at, size, y, target: (np.zeros(1), [_sums(at, size, y, w)[0][y == 1].sum()]))[1][0] / labelled)  # noqa: B023
+
+        def retarget(batches: Iterator[pa.RecordBatch], w: np.ndarray = w, mean: float = mean) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for at, size, y, _ in _unpacked(b):
+                    yield _block(at, size, y, np.where(_sums(at, size, y, w)[0] / mean > 0.5, 1, y))
+
+        if not turn:
+            blocks = cut_lineage(blocks.mapInArrow(retarget, _BLOCK))
+    return Tagger(tag.forenames, tag.common, tag.openers, w, mean)
+
+
+_BLOCK = "at binary, size binary, y binary, target binary"
+
+
+def _block(at, size, y, target) -> pa.RecordBatch:
+    """Candidates: all of their feature numbers, how many each has, whether it is known, and what it counts as."""
+    cols = [np.asarray(x, dtype=k).tobytes() for x, k in zip((at, size, y, target), (np.uint16, np.uint16, np.uint8, np.uint8))]
+    return pa.RecordBatch.from_pydict({c.split(" ")[0]: pa.array([v], pa.binary()) for c, v in zip(_BLOCK.split(", "), cols)})
+
+
+def _unpacked(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    for row in zip(*[b.column(i) for i in range(4)]):
+        yield tuple(np.frombuffer(x.as_buffer(), dtype=k) for x, k in zip(row, (np.uint16, np.uint16, np.uint8, np.uint8)))
+
+
+def _passes(blocks: DataFrame, sums: Callable[..., tuple[np.ndarray, list[float]]]) -> tuple[np.ndarray, np.ndarray] | None:
+    """The totals of ``sums(at, size, y, target)`` over all blocks: a vector and some numbers, summed within each task first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vector, numbers = 0, 0
+        for b in batches:
+            for block in _unpacked(b):
+                v, x = sums(*block)
+                vector, numbers = vector + v, numbers + np.asarray(x, dtype=np.float64)
+        if not np.isscalar(vector):
+            yield pa.RecordBatch.from_pydict({k: pa.array([np.asarray(x, dtype=np.float64).tobytes()], pa.binary()) for k, x in (("v", vector), ("x", numbers))})
+
+    rows = blocks.mapInArrow(run, "v binary, x binary").collect()  # one row a task
+    return tuple(sum(np.frombuffer(r[k]) for r in rows) for k in ("v", "x")) if rows else None
+
+
+def _labelled_mean(mean: float) -> float:
+    return float(min(1.0, max(0.2, mean)))
 
 
 def fit_on(feats: list[list[int]], y: np.ndarray, tag: Tagger) -> Tagger:
-    """Two fits: unlabelled candidates that the first one takes for names are no negatives in the second."""
+    """As :func:`fit_tagger`, for candidates in memory."""
     at = np.fromiter((x for f in feats for x in f), dtype=np.int64)
-    row = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
-    target = y
+    size, target = np.array([len(f) for f in feats]), y
+    seen = np.bincount(at, minlength=len(tag.weights))
     for _ in range(2):
-        w = fit_weights(feats, target)
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights=w[at], minlength=len(feats)), -30, 30)))
-        mean = float(min(1.0, max(0.2, p[y == 1].mean())))
+        w = fit_weights(lambda w: _sums(at, size, target, w)[1:], len(y), seen)  # noqa: B023
+        p = _sums(at, size, y, w)[0]
+        mean = _labelled_mean(p[y == 1].mean())
         target = np.where(p / mean > 0.5, 1.0, y)
     return Tagger(tag.forenames, tag.common, tag.openers, w, mean)
